@@ -119,6 +119,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a plain sort is several times faster here than ``np.unique``'s hash table."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))]
+
+
 #: Bytes whose words are hashed in one go; bounds the working memory of ``word_hashes``.
 SPAN = 1 << 20
 _RNG = np.random.default_rng(20240607)

@@ -39,7 +39,7 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
             same = doc[gap:] == doc[:-gap]
             pair = C.mix64(h[:-gap] * np.uint64(factor) + h[gap:] + np.uint64(gap))
             parts.append((((doc[gap:]) << np.uint64(bits)) | (pair >> shift))[same])
-    keys = np.unique(np.concatenate(parts))
+    keys = C.sorted_unique(np.concatenate(parts))
     return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
