@@ -15,6 +15,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents_of(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.packing import pack
+
+    return pack(documents_of(spark, sf_dir))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.near_dedup import near_duplicates
 
