@@ -178,8 +178,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         met = live.join(first, "key")
         pairs = met.select("id", "root", F.explode("first").alias("p")).where("id > p.a and root <> p.root_a").select(F.col("p.a").alias("a"), F.col("id").alias("b"))
         links = C.settle(verified(pairs), "links")
-        step = C.settle(components(_contract(links, roots)), "steps")
-        roots = C.settle(_compose(roots, step), "roots")
+        if not links.isEmpty():
+            step = C.settle(components(_contract(links, roots)), "steps")
+            roots = C.settle(_compose(roots, step), "roots")
         rest = _unresolved(met.where("id > last").select("key", "id"), roots)
         C.forget(live)
         live, pivots = rest, pivots * 2
@@ -205,7 +206,7 @@ def _contract(links: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _compose(roots: DataFrame, step: DataFrame) -> DataFrame:
     """``roots`` after its components were merged as ``step`` says."""
-    renamed = step.withColumnsRenamed({"id": "root", "root": "next"})
+    renamed = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
     old = roots.join(renamed, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
     return old.unionByName(step.join(roots, "id", "left_anti").select("id", "root"))
 
