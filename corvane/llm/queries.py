@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.common import documents_of, table
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.mixing import mix
+
+    return mix(documents_of(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.toxicity import toxicity
 
