@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.common import documents_of, table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.secrets import scan_documents
+
+    return scan_documents(documents_of(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.mixing import mix
 
