@@ -27,6 +27,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents_of(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.sharding import shard
+
+    return shard(documents_of(spark, sf_dir))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.quality import quality
+
+    return quality(documents_of(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.host_rules import judge
+
+    return judge(documents_of(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.packing import pack
 
