@@ -15,6 +15,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(documents_of(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.suffix_dedup import drop_repeats
+
+    return drop_repeats(documents_of(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.mixing import mix
 
