@@ -16,6 +16,7 @@ by one; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,33 +33,75 @@ TOKENIZER = "word_bpe_49k.json"
 SLICES = 256
 
 
-class ChunkIds(dict):
-    """A blank-separated chunk of text to the little-endian bytes of its ids.
+# The tokenizer's split into words, over characters on which all versions of Unicode agree.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^\\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+PLAIN = re.compile("[\t-\r\x20-\x7e\u00c0-\u012f\u0131-\u024f]*")
+BLANKS = re.compile("[\t-\r ]+")
+ENDS = "</w>"
 
-    Exact for a tokenizer that drops white space and never lets a token cross it; forgets all when full.
+
+class WordIds(dict):
+    """A lower-cased word to the little-endian bytes of its ids.
+
+    Exact for a tokenizer that drops white space, lowers case, and encodes each word by itself: new words are encoded
+    many at a time and told apart by their end-of-word ids. Chunks of unusual characters, kept under a key that starts
+    with a blank, go to the tokenizer as they are. The table is bounded; it forgets all when full.
     """
 
-    limit = 300_000
+    limit, block = 800_000, 2_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(ENDS)]] = True
+
+    def direct(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """The keys of a text, in order."""
+        if "<|" in text:  # may hold special tokens, which are matched before case is lowered
+            return [" " + text]
+        if PLAIN.fullmatch(text):
+            return WORDS.findall(text.lower())
+        out: list[str] = []
+        for chunk in BLANKS.split(text):
+            if PLAIN.fullmatch(chunk):
+                out += WORDS.findall(chunk.lower())
+            else:
+                out.append(" " + chunk)
+        return out
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
+    def learn(self, keys: set[str]) -> None:
+        """Make sure that all of ``keys`` are known."""
+        new = keys - self.keys()
+        if len(self) + len(new) > self.limit:
             self.clear()
-        out = self[chunk] = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return out
+            new = keys
+        self.update((k, self.direct(k[1:])) for k in new if k[0] == " ")
+        unknown = [k for k in new if k[0] != " "]
+        for i in range(0, len(unknown), self.block):
+            some = unknown[i : i + self.block]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(some):
+                self.update((w, self.direct(w)) for w in some)
+                continue
+            data = ids.tobytes()
+            self.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
 
 
-_CACHES: dict[str, ChunkIds] = {}
+_KNOWN: dict[str, WordIds] = {}
 
 
-def chunk_ids(path: str) -> ChunkIds:
-    if path not in _CACHES:
-        _CACHES[path] = ChunkIds(path)
-    return _CACHES[path]
+def word_ids(path: str) -> WordIds:
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -71,14 +114,14 @@ def cut_batches(path: str, capacity: int):
     """``doc_id, text`` to one row per piece: where it starts, how long it is, and the CRC of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = chunk_ids(path).__getitem__
+        known = word_ids(path)
         end = array("I", [END]).tobytes()
         for batch in batches:
             out: list[list[int | None]] = [[], [], [], [], []]
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                # only these six blanks separate chunks: every tokenizer rule treats them as white space
-                words = (text.as_py() or "").translate(_BLANKS).split(" ")
-                ids = b"".join(map(look, words)) + end
+            keys = [known.split(text or "") for text in batch.column("text").to_pylist()]
+            known.learn(set().union(*keys))
+            for key, own in zip(batch.column("doc_id").to_pylist(), keys, strict=True):
+                ids = b"".join(map(known.__getitem__, own)) + end
                 total = len(ids) // 4
                 for piece, start in enumerate(range(0, total, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
@@ -89,9 +132,6 @@ def cut_batches(path: str, capacity: int):
     return run
 
 
-_BLANKS = str.maketrans("\t\n\v\f\r", "     ")
-
-
 def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     """The combination (length, how many) with the largest sum up to ``capacity``; longer lengths first on ties."""
     mask = (1 << (capacity + 1)) - 1
@@ -152,7 +192,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     schema = "length long, first long, ranks long, bin long, each long, at long"
     rows = spark.createDataFrame(plan(histogram, capacity), schema)
     ranked = sliced.withColumn("r", F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "slice"]).withColumn("rank", F.col("r") + F.col("before"))
+    ranked = ranked.join(before, ["length", "slice"]).withColumn("rank", F.col("r") + F.col("before"))
     steps = rows.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "ranks", "bin", "each", "at"))).alias("steps"))
     placed = ranked.join(F.broadcast(steps), "length").withColumn("s", _last_at_most("steps", "rank"))
     nth = F.col("rank") - F.col("s.first")
