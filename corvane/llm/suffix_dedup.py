@@ -182,18 +182,20 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH, gram: int | No
     left = C.settle(every.join(twice, "anchor"), "runs")
     C.release(spark)
     groups = C.settle(left.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("span").alias("span")), "contexts")
-    whole = left.join(groups.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("k1", "k2", "span")
+    whole = C.settle(left.join(groups.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("k1", "k2", "span"), "whole-runs")
     mixed = groups.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    single = groups.join(mixed, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
-    windows = C.settle(texts.join(single, ["k1", "k2"]).mapInArrow(window_batches(length), "k1 long, k2 long, place long, w1 long, w2 long"), "windows")
+    single = C.settle(groups.join(mixed, "anchor", "left_semi").select("k1", "k2", "span"), "single-runs")
+    for x in (twice, left, groups):
+        C.forget(x)
+    C.release(spark)
+    spans = single.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    windows = C.settle(texts.join(spans, ["k1", "k2"]).mapInArrow(window_batches(length), "k1 long, k2 long, place long, w1 long, w2 long"), "windows")
     C.release(spark)
     again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    found = windows.join(again, ["w1", "w2"]).select("k1", "k2", (F.col("place") * 4096).alias("span"))
-    out = C.settle(whole.unionByName(found), "repeats")
-    for x in (twice, left, groups, windows):
-        C.forget(x)
+    found = C.settle(windows.join(again, ["w1", "w2"]).select("k1", "k2", (F.col("place") * 4096).alias("span")), "repeats")
+    C.forget(windows)
     C.release(spark)
-    return out
+    return whole.unionByName(found)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
