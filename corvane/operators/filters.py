@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corvane.functions import text as X
 
@@ -26,7 +26,7 @@ def eligible(text: Column) -> Column:
     return long_enough(text) & alphabetic(text)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def parses(code: pd.Series) -> pd.Series:
     """Whether the code is syntactically valid Python 3; it is never executed."""
 
