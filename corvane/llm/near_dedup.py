@@ -7,8 +7,8 @@ become candidates. With 32 bands of 5 rows a pair at similarity 0.8 is missed wi
 
 Equal sets are collapsed first. Within a bucket only pivots are compared with the other members, and pairs whose
 documents are already connected are skipped: a bucket stays in play until all its members are connected or each
-pair across components was compared. The number of pivots doubles every round, so a bucket of m members needs
-log2(m) rounds, and a group of near copies costs one comparison a member. Pairs reach verification only if their
+pair across components was compared. The number of pivots grows fourfold every round, so a bucket of m members needs
+log4(m) rounds, and a group of near copies costs one comparison a member. Pairs reach verification only if their
 sizes and one bit of each of 128 coordinates allow the threshold (a true pair fails that with probability under
 1e-10); verification then counts the intersection of the whole sets.
 
@@ -171,7 +171,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
     roots = C.settle(components(C.settle(verified(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))), "links")), "roots")
     live = _unresolved(buckets.where("id <> pivot").select("key", "id"), roots)
-    pivots = 1
+    pivots = 4
     while not live.isEmpty():
         ranked = F.row_number().over(Window.partitionBy("key").orderBy("id"))
         first = live.withColumn("rank", ranked).where(F.col("rank") <= pivots).groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("a"), F.col("root").alias("root_a"))).alias("first"), F.max("id").alias("last"))
@@ -183,7 +183,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
             roots = C.settle(_compose(roots, step), "roots")
         rest = _unresolved(met.where("id > last").select("key", "id"), roots)
         C.forget(live)
-        live, pivots = rest, pivots * 2
+        live, pivots = rest, pivots * 4
     named = reps.select("s1", "s2", "id").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id"))
     own = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("s1")).alias("s1"), "s2")
     out = own.join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
