@@ -45,6 +45,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents_of(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.search import self_search
+
+    return self_search(documents_of(spark, sf_dir))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.host_rules import judge
 
