@@ -5,12 +5,14 @@ round T + i all shingles go to bin i, and a coordinate keeps the smallest (round
 the first round that leaves no bin empty, so 2T rounds fill every coordinate. Sets that agree in all rows of a band
 become candidates. With 32 bands of 5 rows a pair at similarity 0.8 is missed with probability 3e-6.
 
-Equal sets are collapsed first. Within a bucket only pivots are compared with the other members, and pairs whose
-documents are already connected are skipped: a bucket stays in play until all its members are connected or each
-pair across components was compared. The number of pivots grows fourfold every round, so a bucket of m members needs
-log4(m) rounds, and a group of near copies costs one comparison a member. Pairs reach verification only if their
-sizes and one bit of each of 128 coordinates allow the threshold (a true pair fails that with probability under
-1e-10); verification then counts the intersection of the whole sets.
+Equal sets are collapsed first. Each bucket's first member is its pivot and is compared with the others; a group of
+near copies costs one comparison a member and band, most of them the same. Members of buckets that this leaves with
+several components are dealt anew, by the shingles of their sets' prefixes in order of rarity, which every pair to be
+linked shares and documents that merely hold the same passage don't. There several pivots a round, four times as many
+each time, are compared with the members of other components until each bucket is one component or each pair across
+components was compared. Pairs reach verification only if their sizes and one bit of each of 128 coordinates allow
+the threshold (a true pair fails that with probability under 1e-10); verification then counts the intersection of
+the whole sets.
 
 Edge cases: a null, empty or wordless text has an empty set and is linked with nothing; with fewer words than a
 shingle has, the whole sequence is one shingle; a null ``doc_id`` is returned with its size, no component, and
@@ -118,6 +120,31 @@ def set_batches(words: int):
     return run
 
 
+def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, members`` (bytes) to ``id, grams`` (a list of hashes)."""
+    for batch in batches:
+        data = batch.column("members").cast(pa.binary())
+        flat, offsets = C.flat_bytes(data)
+        lists = pa.ListArray.from_arrays(pa.array((offsets // 8).astype(np.int32)), pa.array(np.frombuffer(flat.tobytes(), np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "grams"])
+
+
+def prefix_buckets(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """``key, id, n, r``: the shingles of each set's prefix, rarest first among these sets, the set's size, and how many
+    shingles from the key on the set has.
+
+    Two sets of similarity s share a shingle among the first ``n - ceil(s * n) + 1`` of each in any common order, so
+    every pair that is to be linked shares a key, while a passage that many documents hold is in few prefixes.
+    """
+    rows = C.settle(sets.join(ids, "id", "left_semi").select("id", "members").mapInArrow(list_batches, "id long, grams array<long>").select("id", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
+    often = rows.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = rows.join(often, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
+    # shingles of one set alone come first and meet nothing: they only shorten the rest of the prefix
+    alone = F.col("n") - F.size("o")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - alone
+    return ordered.where(length > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("at", "x")).select(F.col("x.g").alias("key"), "id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("r"))
+
+
 def verify_batches(percent: int):
     """``a, b, set_a, set_b`` to the pairs ``a, b`` with ``100 * intersection >= percent * union``."""
 
@@ -170,18 +197,21 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         return both.select("a", "b", "set_a", "set_b").mapInArrow(verify_batches(percent), "a long, b long")
 
     roots = C.settle(components(C.settle(verified(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))), "links")), "roots")
-    live = _unresolved(buckets.where("id <> pivot").select("key", "id"), roots)
+    # buckets that the first pivots left open are dealt anew, by rare shingles
+    live = _unresolved(prefix_buckets(sets, _open_ids(buckets, roots), percent), roots, percent)
     pivots = 4
     while not live.isEmpty():
-        ranked = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        first = live.withColumn("rank", ranked).where(F.col("rank") <= pivots).groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("a"), F.col("root").alias("root_a"))).alias("first"), F.max("id").alias("last"))
-        met = live.join(first, "key")
-        pairs = met.select("id", "root", F.explode("first").alias("p")).where("id > p.a and root <> p.root_a").select(F.col("p.a").alias("a"), F.col("id").alias("b"))
+        first = live.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("n", "id"))).where(F.col("rank") <= pivots)
+        last = first.groupBy("key").agg(F.max(F.struct("n", "id")).alias("last"))
+        ahead = first.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "r", "root")))
+        later = F.struct("n", "id") > F.struct(F.col("n_a"), F.col("id_a"))
+        fits = (percent * (F.col("n") + F.col("n_a")) <= (100 + percent) * F.least("r", "r_a")) & (100 * F.col("n_a") >= percent * F.col("n"))
+        pairs = live.join(ahead, (live["key"] == ahead["key"]) & later & (F.col("root") != F.col("root_a")) & fits).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
         links = C.settle(verified(pairs), "links")
         if not links.isEmpty():
             step = C.settle(components(_contract(links, roots)), "steps")
             roots = C.settle(_compose(roots, step), "roots")
-        rest = _unresolved(met.where("id > last").select("key", "id"), roots)
+        rest = _unresolved(live.join(last, "key").where(F.struct("n", "id") > F.col("last")).select("key", "id", "n", "r"), roots, percent)
         C.forget(live)
         live, pivots = rest, pivots * 4
     named = reps.select("s1", "s2", "id").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id"))
@@ -190,11 +220,29 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with their roots, of the buckets that hold more than one component; written out."""
-    known = C.settle(buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "members")
+def _rooted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    return buckets.join(roots, "id", "left").select(*buckets.columns, F.coalesce("root", "id").alias("root"))
+
+
+def _open_ids(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    known = C.settle(_rooted(buckets.select("key", "id"), roots), "members")
     split = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    return C.settle(known.join(split, "key", "left_semi"), "live")
+    return C.settle(known.join(split, "key", "left_semi").select("id").distinct(), "open")
+
+
+def _unresolved(buckets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Members, with their roots, of the buckets that hold more than one component; written out.
+
+    Sets whose first common shingle is the key share ``least(r)`` shingles at most, and need ``percent / (100 +
+    percent)`` of both sizes; members that miss that even with the bucket's smallest size and largest ``r`` leave.
+    """
+    known = C.settle(_rooted(buckets, roots), "members")
+    split = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least_n"), F.max("r").alias("most_r")).where("r0 <> r1")
+    met = known.join(split, "key").where(percent * (F.col("n") + F.col("least_n")) <= (100 + percent) * F.least("r", "most_r"))
+    out = C.settle(met.select("key", "id", "n", "r", "root"), "live")
+    C.forget(known)
+    return out
 
 
 def _contract(links: DataFrame, roots: DataFrame) -> DataFrame:
