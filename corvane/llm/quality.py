@@ -150,7 +150,8 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = 1.0 / (1.0 + np.exp(-np.clip(log_odds(batch.column("text"), *model.value), -700, 700)))
+            weights, bias = model.value
+            p = 1.0 / (1.0 + np.exp(-np.clip(log_odds(batch.column("text"), weights, bias), -700, 700))) if np.isfinite(bias) else np.full(batch.num_rows, float(bias > 0))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,0 +1,119 @@
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+
+from corvane.llm import common as C, quality, secrets, toxicity
+
+
+def labelled(spark, n=900):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice(plain) for _ in range(rng.randint(10, 60))]
+        toxic, good = i % 4 == 0, i % 3 > 0
+        if toxic:
+            words[rng.randrange(len(words))] = "horrid"
+            words[rng.randrange(len(words))] = "Vile,"
+        if not good:
+            words = [w + "###" for w in words]
+        rows.append((i, " ".join(words), "en", "a", 0, "x", "y", "z", "q"))
+        labels.append((i, int(good), int(toxic)))
+    return rows, labels
+
+
+def check(got, labels, divisor, held, truth, cut, least):
+    assert {r.doc_id for r in got if r.held_out} == {i for i in {r.doc_id for r in got} if i is not None and zlib.crc32(str(i).encode()) % divisor == held}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= cut) for r in got)
+    right = [r.predicted == truth[r.doc_id] for r in got if r.held_out and r.doc_id in truth]
+    assert sum(right) / len(right) >= least
+
+
+def test_toxicity_and_quality_on_held_out_rows(spark, docs):
+    rows, labels = labelled(spark)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    given = spark.createDataFrame(rows, docs.schema)
+    odd = docs.where("doc_id is null or doc_id >= 70").withColumn("doc_id", docs.doc_id + 10_000)
+    every = given.unionByName(odd)
+    got = toxicity.toxicity(every, table).collect()
+    check(got, labels, 5, 0, {i: t for i, _, t in labels}, 0.5, 0.95)
+    assert len(got) == every.count()
+    check(quality.quality(every, table).collect(), labels, 4, 2, {i: q for i, q, _ in labels}, 0.7, 0.95)
+    kept = toxicity.drop_toxic(every, table)
+    assert kept.columns == every.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if not r.predicted)
+    # labels of held-out rows change nothing
+    flipped = spark.createDataFrame([(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels], table.schema)
+    assert {(r.doc_id, r.score) for r in toxicity.toxicity(given, flipped).collect()} == {(r.doc_id, r.score) for r in toxicity.toxicity(given, table).collect()}
+
+
+def test_models_without_labels_or_rows(spark, docs, no_docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.0}
+    assert {r.score for r in quality.quality(docs, none).collect()} == {0.0}
+    assert toxicity.toxicity(no_docs, none).collect() == [] and quality.quality(no_docs, none).collect() == []
+
+
+def test_ftrl_matches_a_plain_loop():
+    rng = np.random.default_rng(2)
+    examples = [(np.unique(rng.integers(0, 50, 8)), int(rng.random() < 0.3)) for _ in range(60)]
+    at, w, bias = toxicity.fit(examples, bits=6)
+    z, n = [0.0] * 64, [0.0] * 64
+    pos = sum(y for _, y in examples)
+    b, bn = math.log((pos + 0.5) / (len(examples) - pos + 0.5)), 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(toxicity.EPOCHS):
+        for idx, y in examples:
+            ws = {i: weight(i) for i in idx.tolist()}
+            g = 1 / (1 + math.exp(-(b + sum(ws.values())))) - y
+            for i in ws:
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - s * ws[i]
+                n[i] += g * g
+            bn += g * g
+            b -= toxicity.ALPHA * g / (toxicity.BETA + math.sqrt(bn))
+    assert np.allclose([weight(i) for i in at], w) and abs(b - bias) < 1e-9
+
+
+def test_units_do_not_depend_on_batches_or_spans(monkeypatch):
+    texts = ["Ab c\nàé xyz", None, "", " a", "longer word list here " * 30, "z"]
+    weights = np.random.default_rng(0).normal(size=1 << quality.BITS).astype(np.float32)
+    whole = quality.log_odds(pa.array(texts), weights, 0.1)
+    single = [quality.log_odds(pa.array([t], pa.string()), weights, 0.1)[0] for t in texts]
+    monkeypatch.setattr(quality, "SPAN", 64)
+    short = quality.log_odds(pa.array(texts), weights, 0.1)
+    for i, t in enumerate(texts):
+        rows, n = quality.units(t)
+        assert abs(whole[i] - ((weights[rows] * n).sum() / max(1, n.sum()) + 0.1)) < 1e-5
+    assert np.allclose(whole, single) and np.allclose(whole, short)
+
+
+def test_secrets(spark, docs, rows, no_docs):
+    findings = secrets.labelled_findings(1600)
+    model = secrets.train(findings[:1200])
+    x = np.array([secrets.describe(t, a, b) for t, a, b, _ in findings[1200:]])
+    assert ((model.score(x) >= 0.5) == [y for *_, y in findings[1200:]]).mean() > 0.97
+    texts = [(1, 'set token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" here'), (2, "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b fixes it"), (3, "see https://www.example.com/a/b/page12345.html now"), (4, None), (5, "")]
+    given = spark.createDataFrame([(i, t, None, None, None, None, None, None, None) for i, t in texts], docs.schema)
+    got = {r.doc_id: r for r in secrets.scan_documents(given, model).collect()}
+    assert [got[i].n_secrets for i in range(1, 6)] == [1, 0, 0, 0, 0]
+    f = [f for f in got[1].findings if f.is_secret][0]
+    assert texts[0][1][f.start : f.start + f.length].startswith("9f86")
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(given, model).collect()}
+    assert masked == {1: 'set token = "[secret]" here', **dict(texts[1:])}
+    assert Counter(r.doc_id for r in secrets.scan_documents(docs, model).collect()) == Counter(i for i, *_ in rows)
+    assert secrets.mask_secrets(docs, model).columns == docs.columns and secrets.scan_documents(no_docs, model).collect() == []
+
+
+def test_word_hashes_do_not_depend_on_spans(monkeypatch):
+    texts = pa.array(["a bb  ccc", None, "", "ä b\x0bc", "word " * 400 + "x" * 300])
+    h, n = C.batch_words(texts)
+    assert n.tolist() == [3, 0, 0, 3, 401]
+    monkeypatch.setattr(C, "SPAN", 50)
+    again, _ = C.batch_words(texts)
+    assert (h == again).all() and len(set(h.tolist())) == len({w for t in texts.to_pylist() if t for w in t.encode().split()})
+    assert (C.batch_words(texts.slice(3, 2))[0] == h[3:]).all()
