@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.sources.storage import settle
+from corvane.sources.storage import forget, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         roots = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(roots, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(roots.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         small = settle(small, "edges")
+        forget(cur)
         cur, seen = small, _mark(small)
         if seen == mark:
             break

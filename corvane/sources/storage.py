@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is configured."""
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors see; a temporary one only where
+    none is configured."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = tempfile.mkdtemp(prefix="corvane-")
@@ -18,7 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, on shared storage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete a settled table that no later plan reads."""
+    path = getattr(df, "settled_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
