@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from corvane.sources.storage import forget, release, settle
+
+__all__ = ["T", "forget", "release", "settle"]
+
 #: Rows in one Arrow batch at most; long documents make large batches otherwise.
 BATCH_ROWS = 1000
 BATCH_BYTES = "32m"
@@ -32,44 +33,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is configured."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, on replicated storage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_path = path
-    return out
-
-
-def forget(df: DataFrame | None) -> None:
-    """Delete a settled table that no later plan reads."""
-    path = getattr(df, "settled_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc_remainder(key: Column, divisor: int) -> Column:
     """``crc32(key as text) mod divisor``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % divisor
@@ -203,6 +166,3 @@ def raw_texts(texts: pa.Array) -> Iterator[bytes | None]:
     kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
     return iter(texts.cast(kind).to_pylist())
 
-
-def long_schema(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)
