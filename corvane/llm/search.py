@@ -27,7 +27,7 @@ from corvane.llm import common as C
 from corvane.llm.toxicity import _SPLIT
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD, BLOCK, QUERIES, COMMON = 8_192, 32, 4_000, 64
+SHARD, BLOCK, QUERIES, COMMON = 8_192, 32, 1_500, 64
 #: Blocks scored before the first threshold is known.
 FIRST = 8
 
@@ -122,12 +122,14 @@ class Shard:
             score = np.bincount(self.docs[post], weights=np.repeat(weight[use], count) * self.impact[post], minlength=len(self.order))
             new = np.flatnonzero(score)
             docs, scores = np.concatenate((docs, self.order[new])), np.concatenate((scores, score[new]))
-            best = np.lexsort((tie[docs], -scores))[:k]
-            docs, scores = docs[best], scores[best]
-            floor = scores[-1] if len(scores) == k else 0.0
-            todo = todo[bound[todo] >= floor]
+            if len(scores) > k:
+                floor = np.partition(scores, len(scores) - k)[len(scores) - k]
+                keep = scores >= floor
+                docs, scores = docs[keep], scores[keep]
+                todo = todo[bound[todo] >= floor]
             size *= 4
-        return docs, scores
+        best = np.lexsort((tie[docs], -scores))[:k]
+        return docs[best], scores[best]
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -180,25 +182,31 @@ def search(documents: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     merged: DataFrame | None = None
     for b in range(n_blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        table = part.orderBy("query_id", "term").toPandas()
-        term = table["term"].to_numpy(np.int64).view(np.uint64)
+        table = part.toArrow()
+        query, term, n = (table.column(c).to_numpy() for c in ("query_id", "term", "n"))
+        del table
+        order = np.lexsort((term, query))
+        query, term, n = query[order], term[order].view(np.uint64), n[order]
         known = np.unique(term)
-        counts = own.select("text").mapInArrow(count_batches(spark.sparkContext.broadcast(known)), "term long, is_total boolean, n long, words long")
-        counts = counts.groupBy("term", "is_total").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toPandas()
-        total = counts[counts["is_total"]]
-        documents_n, words_n = int(total["n"].sum()), int(total["words"].sum())
+        shared = spark.sparkContext.broadcast(known)
+        counts = own.select("text").mapInArrow(count_batches(shared), "term long, is_total boolean, n long, words long")
+        counts = counts.groupBy("term", "is_total").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
+        shared.destroy()
+        is_total, sums, words = (counts.column(c).to_numpy() for c in ("is_total", "n", "words"))
+        documents_n, words_n = int(sums[is_total].sum()), int(words[is_total].sum())
         frequency = np.zeros(len(known))
-        real = counts[~counts["is_total"].astype(bool)]
-        frequency[np.searchsorted(known, real["term"].astype(np.int64).to_numpy().view(np.uint64))] = real["n"].to_numpy()
+        frequency[np.searchsorted(known, counts.column("term").to_numpy()[~is_total].view(np.uint64))] = sums[~is_total]
+        del counts
         df = frequency[np.searchsorted(known, term)]
-        weights = table["n"].to_numpy(float) * np.log1p((documents_n - df + 0.5) / (df + 0.5))
-        ids, first = np.unique(table["query_id"].to_numpy(np.int64), return_index=True)
+        weights = n * np.log1p((documents_n - df + 0.5) / (df + 0.5))
+        ids, first = np.unique(query, return_index=True)
         model = spark.sparkContext.broadcast((ids, np.append(first, len(term)), term, weights, max(words_n / max(documents_n, 1), 1e-9)))
         found = own.mapInArrow(search_batches(model, k), "query_id long, doc_id long, score double")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
         top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
         if n_blocks > 1:
             top = C.settle(top, "found")
+            model.destroy()
         merged = top if merged is None else merged.unionByName(top)
     return merged
 
