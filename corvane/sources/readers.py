@@ -83,6 +83,10 @@ def instructions(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> Dat
 
 def token_files(spark: SparkSession, path: str, vocabulary: int, least: int = 2) -> DataFrame:
     """``path, tokens, max_id, sha256`` of raw little-endian uint32 files; malformed files raise."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    for status in where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(where):
+        if status.isFile() and not status.getLen():  # Spark's file sources pass over empty files
+            raise ValueError(f"{status.getPath()}: 0 bytes")
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
