@@ -108,7 +108,8 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     uses = F.when(size == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.array(F.least(taken, size), F.greatest(taken - size, F.lit(0).cast("long"))), lambda x: x > 0))
     again = met.withColumn("__use", F.explode(uses))
     text = F.col("__row.text")
-    # only the few documents at a border are cut; the pattern counts words
-    pattern = F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("__use").cast("string"), F.lit("})"))
-    kept = F.when((F.col("__use") < size) & (size > 0), F.call_function("regexp_extract", text, pattern, F.lit(1))).otherwise(text)
+    # only the few documents at a border are cut: into words with the blanks before them
+    parts = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(parts, F.lit(1), F.col("__use").cast("int")), "")
+    kept = F.when((F.col("__use") < size) & (size > 0), cut).otherwise(text)
     return again.orderBy(F.col("__position").asc_nulls_last(), "__id").select(*(kept.alias(c) if c == "text" else F.col(f"__row.{c}").alias(c) for c in columns))

@@ -105,3 +105,13 @@ def test_fullest_is_the_best_sum():
         chosen = packing.fullest(counts, 40)
         assert sum(a * n for a, n in chosen) == max(sums) and all(n <= counts[a] for a, n in chosen)
     assert packing.plan({}, 10) == []
+
+
+def test_a_long_text_at_the_border_is_cut_behind_its_last_taken_word(spark):
+    rows = [(1, "  " + "ab \n c\t" * 40_000, "a"), (2, "x y z", "b"), (3, "u v", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert 80_000 < taken[1] < 160_000
+    parts = sorted((r.text for r in mixing.mixed_documents(docs).collect() if r.doc_id == 1), key=len)
+    assert [len(p.split()) for p in parts] == [taken[1] - 80_000, 80_000]
+    assert all(rows[0][1].startswith(p) for p in parts) and not parts[0][-1].isspace()
