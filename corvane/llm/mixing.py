@@ -52,7 +52,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def tilt(source: Column) -> Column:
     """How far a source's weight moves over training, in [-0.75, 0.75]; a fixed function of its name."""
-    return (F.pmod(F.xxhash64(F.coalesce(source, F.lit(""))), F.lit(7)) - 3) / 4.0
+    return (F.conv(F.substring(F.sha2(F.coalesce(source, F.lit("")), 256), 1, 12), 16, 10).cast("long") % 7 - 3) / 4.0
 
 
 def position(share: Column, lean: Column) -> Column:
@@ -69,7 +69,7 @@ def assign(documents: DataFrame) -> DataFrame:
     """``doc_id, size, crc, source_size, target, taken, position``; one narrow row per document, in no order."""
     own = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
-        F.xxhash64(F.col("doc_id").cast("long")).alias("h"), text_crc(F.col("text")).alias("crc"),
+        F.sha2(F.col("doc_id").cast("long").cast("string"), 256).alias("h"), text_crc(F.col("text")).alias("crc"),
     )
     placed = C.settle(running(own, ["source"], ["h", "doc_id", "size", "crc"], {"before": "size"}, label="mix"), "placed")
     goal = C.settle(targets(placed.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets").select(F.col("source").alias("s"), "source_size", "target")
