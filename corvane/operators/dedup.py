@@ -27,7 +27,27 @@ def similar_pairs(df: DataFrame, key: str, tokens: F.Column, n: int = 3, percent
     sets at similarity s share a gram among the first ``size - ceil(s * size) + 1`` in any common order, so no pair is
     lost and frequent grams join nothing. The intersection is then counted on whole sets.
     """
-    sets = settle(df.select(F.col(key).alias("id"), X.shingles(tokens, n).alias("grams")).where(F.size("grams") > 0).select("id", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"), F.size("grams").cast("long").alias("size")), "gram-sets")
+    return _set_pairs(_gram_sets(df, key, tokens, n), percent)
+
+
+def similar_links(df: DataFrame, key: str, tokens: F.Column, n: int = 3, percent: int = 80) -> DataFrame:
+    """``a, b``: links with the same components as ``similar_pairs``, but linear in groups of equal sets.
+
+    Each set is linked with the smallest key that has an equal one, and only those are joined by similarity.
+    """
+    sets = _gram_sets(df, key, tokens, n).withColumn("sig", F.sha2(F.to_json(F.array_sort("grams")), 256))
+    low = sets.groupBy("sig").agg(F.min("id").alias("a"))
+    star = sets.select("id", "sig").join(low, "sig").where("a <> id").select("a", F.col("id").alias("b"))
+    first = sets.join(low, (sets["sig"] == low["sig"]) & (sets["id"] == low["a"]), "left_semi").select("id", "grams", "size")
+    return star.unionByName(_set_pairs(first, percent).select("a", "b"))
+
+
+def _gram_sets(df: DataFrame, key: str, tokens: F.Column, n: int) -> DataFrame:
+    grams = df.select(F.col(key).alias("id"), X.shingles(tokens, n).alias("grams")).where(F.size("grams") > 0)
+    return settle(grams.select("id", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"), F.size("grams").cast("long").alias("size")), "gram-sets")
+
+
+def _set_pairs(sets: DataFrame, percent: int) -> DataFrame:
     grams = sets.select("id", "size", F.explode("grams").alias("g"))
     frequency = grams.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
     ranked = grams.join(frequency, "g", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "g"))).alias("o"))

@@ -27,7 +27,7 @@ def grouped(df: DataFrame) -> DataFrame:
     """``source_id, root, group_key, split``: rows linked by instruction, by context, or by similar instructions."""
     text = X.prompt_normal(F.col("instruction"))
     links = dedup.equal_value_links(df, "source_id", text).unionByName(dedup.equal_value_links(df, "source_id", X.prompt_normal(F.col("context"))))
-    links = links.unionByName(dedup.similar_pairs(df, "source_id", X.words(text)).select("a", "b"))
+    links = links.unionByName(dedup.similar_links(df, "source_id", X.words(text)))
     members = df.join(dedup.groups(df, "source_id", links).withColumnRenamed("id", "source_id"), "source_id")
     keys = dedup.group_keys(members, "root", "fingerprint")
     return members.join(keys, "root").select("source_id", "root", "group_key", splits.group_split(F.col("group_key")).alias("split"))

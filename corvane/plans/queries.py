@@ -141,8 +141,8 @@ def near_dup_pairs(spark, d):
 
 @query
 def near_dup_groups(spark, d):
-    pairs = dedup.similar_pairs(docs(spark, d), "doc_id", X.words(X.prompt_normal(F.col("text"))))
-    return dedup.groups(docs(spark, d), "doc_id", pairs).select(F.col("id").alias("doc_id"), "root")
+    links = dedup.similar_links(docs(spark, d), "doc_id", X.words(X.prompt_normal(F.col("text"))))
+    return dedup.groups(docs(spark, d), "doc_id", links).select(F.col("id").alias("doc_id"), "root")
 
 
 @query
