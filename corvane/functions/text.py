@@ -43,6 +43,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
+def strip(text: Column) -> Column:
+    """No Unicode white space at the ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normal(text: Column) -> Column:
     return collapse(nfkc(text))
 

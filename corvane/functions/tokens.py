@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from corvane.functions import text as X
+
 IGNORE = -100
+# The section titles of a prompt.
+INSTRUCTION, CONTEXT, RESPONSE = "### Instruction:\n", "### Context:\n", "### Response:\n"
 
 
 def prompt(instruction: Column, context: Column) -> Column:
     """The prompt of an instruction; the context section only where there is one."""
-    body = F.trim(F.coalesce(context, F.lit("")))
-    middle = F.when(body != "", F.concat(F.lit("### Context:\n"), body, F.lit("\n\n"))).otherwise("")
-    return F.concat(F.lit("### Instruction:\n"), F.trim(instruction), F.lit("\n\n"), middle, F.lit("### Response:\n"))
+    gap = F.lit("\n\n")
+    body = X.strip(F.coalesce(context, F.lit("")))
+    middle = F.when(body != "", F.concat(F.lit(CONTEXT), body, gap)).otherwise("")
+    return F.concat(F.lit(INSTRUCTION), X.strip(instruction), gap, middle, F.lit(RESPONSE))
 
 
 def with_end(ids: Column, end: int, limit: Column | None = None) -> Column:
@@ -69,11 +74,14 @@ def evaluation_offset(i: Column, n: Column, k: Column) -> Column:
 
 
 def learning_rate(step: Column, peak: float, floor: float, warmup: int, total: int) -> Column:
-    """Linear warm-up, then cosine decay to ``floor``; steps start at 1."""
-    done = F.least((step - warmup) / float(max(1, total - warmup)), F.lit(1.0))
-    return F.when(step <= warmup, peak * step / float(max(1, warmup))).otherwise(floor + 0.5 * (peak - floor) * (1 + F.cos(F.lit(3.141592653589793) * done)))
+    """Linear warm-up, then cosine decay to ``floor`` times the peak; steps start at 1."""
+    low = peak * floor
+    done = (step - warmup) / float(max(1, total - warmup))
+    return F.when(step <= warmup, peak * step / float(max(1, warmup))).otherwise(low + 0.5 * (peak - low) * (1 + F.cos(F.lit(3.141592653589793) * done)))
 
 
 def tokens_seen(step: Column, total: int, length: int, batch: int) -> Column:
-    """Targets scored after ``step`` updates of one pass over ``total`` tokens; the last window may be short."""
-    return F.least(step * length * batch, F.lit(total - 1)).cast("long")
+    """Targets scored after ``step`` updates over epochs of ``total`` tokens; an epoch's short tail is its last batch."""
+    full = (total - 1) // length
+    per_epoch = -(-full // batch) + ((total - 1) % length > 0)
+    return (F.floor(step / per_epoch) * (total - 1) + F.least(step % per_epoch * batch, F.lit(full)) * length).cast("long")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from corvane.functions import text as X
 
 # Fixed values.
-LICENSES = ("mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc")
+LICENSES = ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "mit")
+CATEGORIES = ("classification", "closed_qa", "information_extraction", "summarization")
 LEAST_CHARS, MOST_CHARS, MOST_CODE_CHARS, LEAST_ALPHA = 100, 2_000_000, 100_000, 0.2
 
 
@@ -62,7 +63,7 @@ def reject_counts(df: DataFrame, reason: Column) -> DataFrame:
     return df.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def instruction_rules(categories: list[str], end: str, prompt_tokens: Column, answer_tokens: Column, most_answer: int = 80, most_total: int = 256) -> list[tuple[str, Column]]:
+def instruction_rules(end: str, prompt_tokens: Column, answer_tokens: Column, most_answer: int = 80, most_total: int = 256, categories: tuple[str, ...] = CATEGORIES) -> list[tuple[str, Column]]:
     """Category and blanks, special token, length; in the order in which they are counted."""
     fields = ("instruction", "context", "response")
     filled = F.col("category").isin(*categories) & (X.collapse(F.col("instruction")) != "") & (X.collapse(F.col("response")) != "") & F.col("context").isNotNull()

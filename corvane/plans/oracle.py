@@ -75,7 +75,8 @@ SELECT source, seq, split, coalesce(sum(tokens) OVER (PARTITION BY split ORDER B
 TURNS = """t AS (SELECT u.conv_id * 1000 + u.turn AS source_id, u.text AS instruction, coalesce(s.context, '') AS context, a.text AS response
  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
  LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS context FROM conversations WHERE role = 'system' GROUP BY conv_id) s ON s.conv_id = u.conv_id WHERE u.role = 'user')"""
-PROMPT = "'### Instruction:\n' || trim(instruction, ' ') || '\n\n' || CASE WHEN trim(context, ' ') <> '' THEN '### Context:\n' || trim(context, ' ') || '\n\n' ELSE '' END || '### Response:\n'"
+STRIP = lambda x: f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+PROMPT = f"'### Instruction:\n' || {STRIP('instruction')} || '\n\n' || CASE WHEN {STRIP('context')} <> '' THEN '### Context:\n' || {STRIP('context')} || '\n\n' ELSE '' END || '### Response:\n'"
 ANSWER = lambda x: f"regexp_replace({fold(x)}, '[.!?]+$', '')"
 OUTCOMES = "o AS (SELECT d.doc_id, d.lang AS category, l.quality = 1 AS exact_match, l.toxic = 0 AS stopped, d.source FROM documents d JOIN labels l USING (doc_id))"
 GRAMSETS = f"""w AS (SELECT doc_id, {words(fold('text'))} AS w FROM documents),
@@ -175,8 +176,8 @@ SELECT doc_id, k AS window_id, k * 64 AS start, len(x[k * 64 + 1:k * 64 + 65])::
         "next_token_shift": f"WITH t AS (SELECT doc_id, {IDS('text')} AS x FROM documents) SELECT doc_id, greatest(len(x) - 1, 0)::BIGINT AS n, coalesce(list_sum(list_transform(range(1, len(x)), lambda i: x[i] * x[i + 1])), 0)::BIGINT AS product_sum FROM t",
         "batch_counts": f"WITH t AS (SELECT doc_id, len({pieces('text')}) AS n FROM documents) SELECT doc_id, (ceil(floor((n - 1) / 32) / 4) + CASE WHEN (n - 1) % 32 > 0 THEN 1 ELSE 0 END)::BIGINT AS batches FROM t",
         "eval_offsets": "SELECT i::BIGINT AS i, floor(i * (n - 1) / 15)::BIGINT AS window_id FROM (SELECT count(*) AS n FROM documents), range(16) r(i)",
-        "lr_schedule": f"SELECT event_id, round(CASE WHEN event_id <= 100 THEN 3e-4::DOUBLE * event_id / 100 ELSE 3e-5::DOUBLE + 0.5 * (3e-4::DOUBLE - 3e-5::DOUBLE) * (1 + cos({PI} * least((event_id - 100) / 4900.0::DOUBLE, 1))) END, 10) AS rate FROM events",
-        "coverage_tokens": "SELECT event_id, least(event_id * 128, 99999)::BIGINT AS tokens FROM events",
+        "lr_schedule": f"SELECT event_id, round(CASE WHEN event_id <= 100 THEN 3e-4::DOUBLE * event_id / 100 ELSE 3e-5::DOUBLE + 0.5 * (3e-4::DOUBLE - 3e-5::DOUBLE) * (1 + cos({PI} * ((event_id - 100) / 199900.0::DOUBLE))) END, 10) AS rate FROM events",
+        "coverage_tokens": "SELECT event_id, ((event_id // 783) * 99999 + least(event_id % 783 * 8, 6249) * 16)::BIGINT AS tokens FROM events",
         "exact_match": f"WITH {TURNS} SELECT source_id, {ANSWER('instruction')} = {ANSWER('response')} AS exact, sha256({ANSWER('response')}) AS answer_sha256 FROM t",
         "token_f1": f"""WITH {TURNS}, w AS (SELECT source_id, {words(fold('instruction'))} AS p, {words(fold('response'))} AS r FROM t),
 a AS (SELECT source_id, k, count(*) AS n FROM (SELECT source_id, unnest(p) AS k FROM w) GROUP BY ALL), b AS (SELECT source_id, k, count(*) AS n FROM (SELECT source_id, unnest(r) AS k FROM w) GROUP BY ALL),

@@ -240,7 +240,7 @@ def prompt_format(spark, d):
 @query
 def instruction_rejects(spark, d):
     rows = turns(spark, d).withColumn("category", F.when(F.col("context") != "", "context").otherwise("closed"))
-    return filters.reject_counts(rows, filters.first_reason(filters.instruction_rules(["context"], "Wh", F.col("prompt_tokens"), F.col("answer_tokens"), 60, 200)))
+    return filters.reject_counts(rows, filters.first_reason(filters.instruction_rules("Wh", F.col("prompt_tokens"), F.col("answer_tokens"), 60, 200, ("context",))))
 
 
 @query
@@ -294,7 +294,7 @@ def eval_offsets(spark, d):
 @query
 def lr_schedule(spark, d):
     e = table(spark, d, "events").select(F.col("event_id"))
-    return rounded(e.select("event_id", K.learning_rate(F.col("event_id"), 3e-4, 3e-5, 100, 5_000).alias("rate")), "rate", digits=10)
+    return rounded(e.select("event_id", K.learning_rate(F.col("event_id"), 3e-4, 0.1, 100, 200_000).alias("rate")), "rate", digits=10)
 
 
 @query
