@@ -166,7 +166,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     spark = documents.sparkSession
     C.small_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = C.settle(texts.mapInArrow(sketch_batches(words), "doc_id long, n_shingles long, s1 long, s2 long, bits0 long, bits1 long, bands array<long>"), "sketches")
+    rows = C.settle(texts.mapInArrow(C.tidy(sketch_batches(words)), "doc_id long, n_shingles long, s1 long, s2 long, bits0 long, bits1 long, bands array<long>"), "sketches")
     reps = C.settle(
         rows.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "bits0", "bits1", "bands"), "doc_id").alias("x")).select("s1", "s2", "id", "x.*"),
         "representatives",
@@ -177,7 +177,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     C.release(spark)
     wanted = reps.select("id", "bits0", "bits1").join(buckets.select("id").distinct(), "id")
     sets = C.settle(
-        texts.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInArrow(set_batches(words), "id long, n_shingles long, bits0 long, bits1 long, members binary"),
+        texts.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInArrow(C.tidy(set_batches(words)), "id long, n_shingles long, bits0 long, bits1 long, members binary"),
         "sets",
     )
     C.release(spark)
@@ -194,7 +194,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         ).select("a", "b")
         own = sets.select("id", "members")
         both = close.join(own.withColumnsRenamed({"id": "a", "members": "set_a"}), "a").join(own.withColumnsRenamed({"id": "b", "members": "set_b"}), "b")
-        return both.select("a", "b", "set_a", "set_b").mapInArrow(verify_batches(percent), "a long, b long")
+        return both.select("a", "b", "set_a", "set_b").mapInArrow(C.tidy(verify_batches(percent)), "a long, b long")
 
     roots = C.settle(components(C.settle(verified(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))), "links")), "roots")
     # buckets that the first pivots left open are dealt anew, by rare shingles

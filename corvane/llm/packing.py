@@ -48,7 +48,7 @@ class WordIds(dict):
     with a blank, go to the tokenizer as they are. The table is bounded; it forgets all when full.
     """
 
-    limit, block = 800_000, 2_000
+    limit, block = 400_000, 2_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -182,7 +182,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     C.small_batches(spark)
     path = tokenizer or tokenizer_path()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = C.settle(texts.mapInArrow(cut_batches(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = C.settle(texts.mapInArrow(C.tidy(cut_batches(path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     slice_of = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES)).cast("int")
     sliced = pieces.withColumn("slice", slice_of)
     # at most CAPACITY * SLICES rows, whatever the corpus holds

@@ -257,7 +257,7 @@ def scan_documents(documents: DataFrame, model: Forest | None = None) -> DataFra
             )
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id long, n_candidates long, n_secrets long, findings {FINDING}")
+    return own.mapInArrow(C.tidy(run), f"doc_id long, n_candidates long, n_secrets long, findings {FINDING}")
 
 
 _FINDING = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64()), ("is_secret", pa.bool_()), ("value_sha256", pa.string())]))
@@ -284,4 +284,4 @@ def mask_secrets(documents: DataFrame, model: Forest | None = None, mask: str =
             yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns)], columns)
 
     fields = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in documents.schema]
-    return documents.mapInArrow(run, T.StructType(fields))
+    return documents.mapInArrow(C.tidy(run), T.StructType(fields))

@@ -94,8 +94,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", limit:
     spark = documents.sparkSession
     C.small_batches(spark)
     sample = C.bounded_sample(labels, label, limit, DIVISOR, HELD_OUT)
-    feats = C.sample_texts(documents, sample).select("sample_id", "label", "text").mapInArrow(extract, "sample_id long, label int, feats array<int>")
-    model = feats.repartition(1).mapInArrow(train_task, "at long, w double").collect()
+    feats = C.sample_texts(documents, sample).select("sample_id", "label", "text").mapInArrow(C.tidy(extract), "sample_id long, label int, feats array<int>")
+    model = feats.repartition(1).mapInArrow(C.tidy(train_task), "at long, w double").collect()
     weights, bias = np.zeros(1 << BITS, np.float32), float("-inf")
     for at, w in model:
         if at < 0:
@@ -121,7 +121,7 @@ def score_texts(documents: DataFrame, weights: np.ndarray, bias: float) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*kept, "score", "predicted"])
 
     fields = documents.select(*kept).schema
-    return documents.select(*kept).mapInArrow(score, C.T.StructType([*fields.fields, C.T.StructField("score", C.T.DoubleType()), C.T.StructField("predicted", C.T.IntegerType())]))
+    return documents.select(*kept).mapInArrow(C.tidy(score), C.T.StructType([*fields.fields, C.T.StructField("score", C.T.DoubleType()), C.T.StructField("predicted", C.T.IntegerType())]))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
