@@ -5,7 +5,10 @@ its character-class transitions and byte entropy, how much of it dictionary word
 the words next to it. It is trained here, in numpy, from labelled findings: either a caller's, or the generated
 ones of ``labelled_findings``, which hold real key shapes against digests, identifiers, paths, placeholders and prose.
 
-Edge cases: a null or empty text has no findings; overlapping candidates are merged into the longest one; repeated
+An assigned value is a candidate of its own: the token ``name=VALUE`` around it is split, so that the name counts as
+the words before the value. Training describes the spans that ``candidates`` gives, as a scan does.
+
+Edge cases: a null or empty text has no findings; other overlapping candidates are merged into the longest one; repeated
 rows are scanned one by one; columns other than ``doc_id`` and ``text`` are ignored by the scan; documents without
 findings have no row in ``scan`` and one row in ``scan_documents``; an empty table gives an empty result.
 """
@@ -33,6 +36,9 @@ CONTEXT = 48
 TOKEN = re.compile(r"[A-Za-z0-9+/_=\-.~]{16,}")
 ASSIGNED = re.compile(r"""(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?["']?\s{0,3}[:=]\s{0,3}["']?([^\s"'<>,;]{6,})""")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]{0,30}PRIVATE KEY-----")
+#: The head of an assignment inside an assigned value (``auth: token=VALUE``), and the name in front of a token's value.
+NESTED = re.compile(r"(?i)[a-z_.\-]{0,32}?(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[:=](?=[^\s\"'<>,;]{6})")
+NAMED = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,63})=(?!=)")
 PREFIX = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|SG\.|npm_|pypi-|hf_)")
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "credential", "private", "key")
 BENIGN = ("sha", "md5", "commit", "checksum", "digest", "hash", "uuid", "revision", "version", "build", "etag", "integrity", "example", "placeholder", "sample", "id", "file", "path", "url", "http", "www", "see", "page")
@@ -43,16 +49,35 @@ STEMS = frozenset(
 )
 
 
+def _token(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The span of a token without trailing marks if it may be a key; otherwise nothing."""
+    own = text[a:b]
+    kept = own.rstrip(".-=") if not own.endswith("=") else own
+    return [(a, a + len(kept))] if len(kept) >= 16 and (any(c.isdigit() for c in kept) or PREFIX.match(kept)) else []
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of candidates, merged where they overlap, in order."""
+    """Spans of candidates in order: assigned values, what is left of tokens around them, others merged where they overlap."""
     spans = [m.span() for m in BLOCK.finditer(text)]
-    spans += [m.span(1) for m in ASSIGNED.finditer(text)]
+    values = []
+    for m in ASSIGNED.finditer(text):
+        a, b = m.span(1)
+        while inner := NESTED.match(text, a, b):
+            a = inner.end()
+        values.append((m.start(), a, b))
+    spans += [v[1:] for v in values]
+    at = 0
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        own = text[a:b]
-        kept = own.rstrip(".-=") if not own.endswith("=") else own
-        if len(kept) >= 16 and (any(c.isdigit() for c in kept) or PREFIX.match(kept)):
-            spans.append((a, a + len(kept)))
+        while at < len(values) and values[at][2] <= a:
+            at += 1
+        if at < len(values) and a < values[at][1] < b:
+            # the value reaches to the token's end or beyond
+            spans += _token(text, a, max(a, values[at][0]))
+            continue
+        named = NAMED.match(text, a, b)
+        value = _token(text, named.end(), b) if named else []
+        spans += value + _token(text, *named.span(1)) if value else _token(text, a, b)
     spans.sort()
     out: list[tuple[int, int]] = []
     for a, b in spans:
@@ -63,6 +88,15 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def as_scanned(findings: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """Findings with the span of the candidate that a scan would judge in their place; the given one where none would be."""
+    out = []
+    for text, a, b, y in findings:
+        shared = max(candidates(text), key=lambda s: min(b, s[1]) - max(a, s[0]), default=(b, b))
+        out.append((text, *(shared if min(b, shared[1]) > max(a, shared[0]) else (a, b)), y))
+    return out
+
+
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -164,7 +198,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
             quote = lead[-1] if lead.endswith(("'", '"')) else ""
         front = words(int(rng.integers(0, 9))) + pick((" ", "\n", "", " | "))
         out.append((front + lead + value + quote + " " + words(int(rng.integers(0, 8))), len(front + lead), len(front + lead + value), int(real)))
-    return out
+    return as_scanned(out)
 
 
 class Forest:
@@ -222,7 +256,7 @@ class Forest:
 
 def train(findings: list[tuple[str, int, int, int]] | None = None) -> Forest:
     """A forest from labelled findings: (text, start, end, label)."""
-    findings = labelled_findings() if findings is None else findings
+    findings = labelled_findings() if findings is None else as_scanned(findings)
     x = np.array([describe(t, a, b) for t, a, b, _ in findings])
     return Forest(x, np.array([y for *_, y in findings], float))
 
