@@ -4,7 +4,8 @@ Source weights give each source a share of the mix; a share stops at ``MOST`` ti
 excess goes to the others by weight (water filling, solved in closed form over the sources ordered by the level at
 which each is full). Over training time t in [0, 1] the weight of a source moves linearly from ``1 + tilt`` to
 ``1 - tilt`` times its share, with tilts that differ by source. The cumulative demand of a source is the integral
-of that schedule; inverting it at a document's cumulative words gives the document's training position.
+of that schedule; inverting it at a document's cumulative words gives the document's training position. A document's
+second use has a position of its own, where the demand has gone once through the whole source.
 
 Within a source documents follow the hash of their id. The first ``size`` words of the target take each document
 once, the rest starts again from the front; the document at the border is taken in part, so the words taken equal
@@ -66,7 +67,10 @@ def text_crc(text: Column) -> Column:
 
 
 def assign(documents: DataFrame) -> DataFrame:
-    """``doc_id, size, crc, source_size, target, taken, position``; one narrow row per document, in no order."""
+    """``doc_id, size, crc, source_size, target, taken, position, again``; one narrow row per document, in no order.
+
+    ``position`` and ``again`` are those of its first and second use; null for a use that takes nothing.
+    """
     own = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
         F.sha2(F.col("doc_id").cast("long").cast("string"), 256).alias("h"), text_crc(F.col("text")).alias("crc"),
@@ -77,20 +81,23 @@ def assign(documents: DataFrame) -> DataFrame:
     whole = F.floor("target")
     part = lambda start: F.greatest(F.least(whole - start, F.col("size")), F.lit(0))
     taken = (part(F.col("before")) + part(F.col("before") + F.col("source_size"))).cast("long")
-    out = joined.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, position(F.col("before") / F.col("target"), tilt(F.col("source")))))
-    return out.select("doc_id", "size", "crc", "source_size", "target", "taken", "position")
+    at = lambda start: position(start / F.col("target"), tilt(F.col("source")))
+    out = joined.withColumn("taken", taken).withColumns({
+        "position": F.when(F.col("taken") > 0, at(F.col("before"))), "again": F.when(F.col("taken") > F.col("size"), at(F.col("before") + F.col("source_size"))),
+    })
+    return out.select("doc_id", "size", "crc", "source_size", "target", "taken", "position", "again")
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken, position`` for every document, by position.
 
-    ``position`` is that of a document's first use; null where nothing is taken.
+    ``position`` is that of a document's first use; null where nothing is taken. ``assign`` has that of the second too.
     """
-    return assign(documents).drop("crc").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return assign(documents).drop("crc", "again").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` as often as the mix takes them, in training order, with the same columns.
+    """The rows of ``documents`` as often as the mix takes them, each use at its own position, with the same columns.
 
     A document that the mix takes in part is cut behind its last taken word; a document of no words never counts
     towards a target and stays once. Columns keep their names and order. Texts move twice: to their narrow row of
@@ -98,18 +105,21 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     """
     columns = documents.columns
     nth = lambda order: F.row_number().over(Window.partitionBy("__id", "__crc").orderBy(order))
-    narrow = assign(documents).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("crc").alias("__crc"), "size", "taken", "position")
-    narrow = narrow.withColumn("__n", nth("position")).withColumnsRenamed({"size": "__size", "taken": "__taken", "position": "__position"})
+    narrow = assign(documents).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("crc").alias("__crc"), "size", "taken", "position", "again")
+    narrow = narrow.withColumn("__n", nth("position")).withColumnsRenamed({"size": "__size", "taken": "__taken", "position": "__position", "again": "__again"})
     rows = documents.select(F.struct(*(F.col(c) for c in columns)).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id2"), text_crc(F.col("text")).alias("__crc2"))
     rows = rows.withColumn("__n2", F.row_number().over(Window.partitionBy("__id2", "__crc2").orderBy("__id2")))
     # a comparison of the counters that isn't an equi-join key: both sides stay as the windows dealt them
     met = rows.join(narrow, (F.col("__id") == F.col("__id2")) & (F.col("__crc") == F.col("__crc2")) & (F.abs(F.col("__n") - F.col("__n2")) < 1))
     size, taken = F.col("__size"), F.col("__taken")
-    uses = F.when(size == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.array(F.least(taken, size), F.greatest(taken - size, F.lit(0).cast("long"))), lambda x: x > 0))
-    again = met.withColumn("__use", F.explode(uses))
+    nothing = F.lit(0).cast("long")
+    use = lambda n, at: F.struct(n.alias("n"), F.col(at).alias("at"))
+    both = F.filter(F.array(use(F.least(taken, size), "__position"), use(F.greatest(taken - size, nothing), "__again")), lambda x: x["n"] > 0)
+    uses = F.when(size == 0, F.array(use(nothing, "__position"))).otherwise(both)
+    again = met.withColumn("__one", F.explode(uses)).withColumns({"__use": F.col("__one.n"), "__at": F.col("__one.at")})
     text = F.col("__row.text")
     # only the few documents at a border are cut: into words with the blanks before them
     parts = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.array_join(F.slice(parts, F.lit(1), F.col("__use").cast("int")), "")
     kept = F.when((F.col("__use") < size) & (size > 0), cut).otherwise(text)
-    return again.orderBy(F.col("__position").asc_nulls_last(), "__id").select(*(kept.alias(c) if c == "text" else F.col(f"__row.{c}").alias(c) for c in columns))
+    return again.orderBy(F.col("__at").asc_nulls_last(), "__id").select(*(kept.alias(c) if c == "text" else F.col(f"__row.{c}").alias(c) for c in columns))

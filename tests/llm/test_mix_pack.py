@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -115,3 +116,23 @@ def test_a_long_text_at_the_border_is_cut_behind_its_last_taken_word(spark):
     parts = sorted((r.text for r in mixing.mixed_documents(docs).collect() if r.doc_id == 1), key=len)
     assert [len(p.split()) for p in parts] == [taken[1] - 80_000, 80_000]
     assert all(rows[0][1].startswith(p) for p in parts) and not parts[0][-1].isspace()
+
+
+def test_second_uses_come_after_the_whole_source(spark):
+    # source c is taken twice, b and a in part
+    rows = [(i, "w " * 10, "c") for i in range(40)] + [(100 + i, "v " * 10, "a") for i in range(60)] + [(200 + i, "u " * 10, "b") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r.doc_id: r for r in mixing.assign(docs).collect()}
+    order = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    for source in "abc":
+        own = [i for i, _, s in rows if s == source]
+        target, lean = plan[own[0]].target, (int(hashlib.sha256(source.encode()).hexdigest()[:12], 16) % 7 - 3) / 4
+        first = sorted((i for i in own if plan[i].taken), key=lambda i: plan[i].position)
+        second = sorted((i for i in own if plan[i].taken > 10), key=lambda i: plan[i].again)
+        assert [i for i in order if i in own] == first + second and second == first[: len(second)]
+        for k, i in enumerate(first + second):
+            t = plan[i].position if k < len(first) else plan[i].again
+            # the integral of the schedule up to the position is the share of the target before this use
+            assert abs((1 + lean) * t - lean * t * t - 10 * k / target) < 1e-9
+    twice = [i for i, r in plan.items() if r.taken > 10]
+    assert len(twice) > 30 and all(order.index(i) + 1 < len(order) - order[::-1].index(i) - 1 for i in twice)
