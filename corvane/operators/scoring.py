@@ -74,6 +74,21 @@ def constant_answer(train: DataFrame, dev: DataFrame, task: str, answer: str) ->
     return dev.join(top, task).groupBy(task).agg(F.count("*").alias("examples"), F.sum((F.col(answer) == F.col("constant")).cast("long")).alias("right"))
 
 
+def partner_errors(outputs: DataFrame, train: DataFrame, context: str, *keys: str) -> DataFrame:
+    """``examples, wrong, partner`` by ``keys``: how many wrong outputs equal a training answer of their context.
+
+    ``outputs`` holds the context key, ``predicted`` and ``reference``; ``train`` holds the context key and ``answer``.
+    A null output is wrong and equals nothing; a context may have several training answers.
+    """
+    said = X.answer_normal(F.col("predicted"))
+    right = F.coalesce(said == X.answer_normal(F.col("reference")), F.lit(False))
+    rows = outputs.select(*keys, F.col(context).alias("__context"), said.alias("__answer"), right.alias("__right"))
+    known = train.select(F.col(context).alias("__context"), X.answer_normal(F.col("answer")).alias("__answer")).distinct().withColumn("__known", F.lit(True))
+    met = rows.join(known, ["__context", "__answer"], "left")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    return met.groupBy(*keys).agg(F.count("*").alias("examples"), count(~F.col("__right")).alias("wrong"), count(~F.col("__right") & F.col("__known")).alias("partner"))
+
+
 def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one side has more often; empty if both hold the same rows equally often."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

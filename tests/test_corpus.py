@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.operators import checks, dedup, filters, quota, sampling, splits
+from corvane.operators import checks, dedup, filters, quota, sampling, scoring, splits
 from corvane.plans import corpus, instructions
 from corvane.sources import sinks
 
@@ -137,3 +137,15 @@ def test_sinks_refuse_what_is_not_finite(spark, tmp_path):
     sinks.append_event(spark, str(tmp_path / "log"), {"event": "x", "loss": 1.0})
     with pytest.raises(ValueError):
         sinks.append_event(spark, str(tmp_path / "log"), {"event": "x", "loss": float("nan")})
+
+
+def test_wrong_outputs_that_equal_their_training_partner(spark):
+    train = spark.createDataFrame([("lea", "Tom"), ("lea", "Tom"), ("lea", "Max"), ("ben", "Ida"), (None, "Zoe")], "holder string, answer string")
+    rows = [
+        ("map", "lea", "Tom", "Eva"), ("map", "lea", "max", "Eva"), ("map", "ben", "Ida", "Eva"),  # the partner's answer
+        ("map", "ben", "Tom", "Eva"), ("map", "lea", None, "Eva"), ("map", None, "Zoe", "Eva"), ("map", "new", "Ida", "Eva"),  # other errors
+        ("key", "lea", "Tom", "Tom"), ("key", "ben", "Ida", "Ida"),  # right, though the partner's answer too
+    ]
+    outputs = spark.createDataFrame(rows, "task string, holder string, predicted string, reference string")
+    got = scoring.partner_errors(outputs, train, "holder", "task")
+    assert {r.task: (r.examples, r.wrong, r.partner) for r in got.collect()} == {"map": (7, 7, 3), "key": (2, 0, 0)}
