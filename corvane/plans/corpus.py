@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corvane.functions import text as X
 from corvane.operators import dedup, filters, quota, splits
 from corvane.sources.sinks import Corpus
+from corvane.sources.storage import settle
 
 
 def visible(documents: DataFrame, source: Column | None = None, n_tokens: Column | None = None) -> DataFrame:
@@ -30,6 +31,32 @@ def by_source(documents: DataFrame, source: Column, names: list[str], budgets: d
     return quota.offsets(quota.fill_sources(visible(documents, source), names, budgets), ["source", "seq"])
 
 
+def source_counters(documents: DataFrame, source: Column, names: list[str], budgets: dict[str, int]) -> DataFrame:
+    """One row per source of ``by_source``: its visited, filtered, duplicate and truncated documents, and the
+    documents and tokens written to each split.
+
+    A source is visited up to the document that fills its last quota. Duplicates are visited eligible documents whose
+    fingerprint came before, in this source or in the visited part of an earlier one.
+    """
+    index = quota.fill_sources(visible(documents, source), names, budgets)
+    count = lambda c, n=F.lit(1): F.sum(F.when(c, n).otherwise(0)).cast("long")
+    part = lambda s: F.col("split") == s
+    written = settle(
+        index.groupBy("source").agg(
+            F.max("seq").alias("stop"), count(F.col("truncated")).alias("truncated"),
+            *(count(part(s)).alias(f"{s}_documents") for s in budgets), *(count(part(s), F.col("tokens")).alias(f"{s}_tokens") for s in budgets),
+        ), "written",
+    )
+    rows = documents.select(source.alias("source"), F.col("doc_id").alias("seq"), F.coalesce(filters.eligible(F.col("text")), F.lit(False)).alias("good"), X.fingerprint(F.col("text")).alias("fingerprint"))
+    seen = rows.join(written.select("source", "stop"), "source").where("seq <= stop")
+    read = seen.groupBy("source").agg(F.count("*").alias("visited"), count(~F.col("good")).alias("filtered"))
+    rank = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("source"))
+    first = seen.where("good").groupBy("fingerprint").agg(F.min(F.struct(rank.alias("rank"), "source")).alias("at"))
+    fresh = first.groupBy(F.col("at.source").alias("source")).agg(F.count("*").alias("fresh"))
+    out = read.join(fresh, "source").join(written, "source")
+    return out.select("source", "visited", "filtered", (F.col("visited") - F.col("filtered") - F.col("fresh")).alias("duplicates"), "truncated", *(f"{s}_{k}" for k in ("documents", "tokens") for s in budgets))
+
+
 def prepare(documents: DataFrame, folder: str, budgets: dict[str, int], tokenizer: str = "blank-separated") -> DataFrame:
     """Write a corpus folder; the manifest ends as complete, or as incomplete if a budget can't be met."""
     with Corpus(documents.sparkSession, folder, tokenizer=tokenizer, budgets=budgets) as out:

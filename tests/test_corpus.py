@@ -149,3 +149,43 @@ def test_wrong_outputs_that_equal_their_training_partner(spark):
     outputs = spark.createDataFrame(rows, "task string, holder string, predicted string, reference string")
     got = scoring.partner_errors(outputs, train, "holder", "task")
     assert {r.task: (r.examples, r.wrong, r.partner) for r in got.collect()} == {"map": (7, 7, 3), "key": (2, 0, 0)}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_source_counters_equal_the_reading_loop(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(90)) for _ in range(rng.randint(20, 50))) for _ in range(6000)]
+    # most documents fall to train, so a few dozen of each split are picked
+    by_split = spark.createDataFrame([(x,) for x in pool], "text string").select("text", splits.document_split(X.fingerprint(F.col("text"))).alias("split")).collect()
+    pool = [x for s in ("train", "val", "holdout") for x in sorted(r.text for r in by_split if r.split == s)[:30]]
+    rows = [(i, rng.choice([*pool, "short", None, "1 2 3 " * 60]) if rng.random() < 0.8 else rng.choice(["short", None]), rng.choice("abz")) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    budgets = {"train": 300, "val": 165, "holdout": 140}
+    t = F.col("text")
+    known = {r.doc_id: r for r in df.select("doc_id", "source", F.coalesce(filters.eligible(t), F.lit(False)).alias("good"), X.fingerprint(t).alias("fp"), splits.document_split(X.fingerprint(t)).alias("split"), (X.n_pieces(t) + 1).alias("n")).collect()}
+    seen, expected = set(), {}
+    for name in ("b", "a"):
+        left, own = dict(budgets), dict.fromkeys(("visited", "filtered", "duplicates", "truncated", *(f"{s}_{k}" for k in ("documents", "tokens") for s in budgets)), 0)
+        for i in sorted(i for i, r in known.items() if r.source == name):
+            r = known[i]
+            own["visited"] += 1
+            if not r.good:
+                own["filtered"] += 1
+                continue
+            if r.fp in seen:
+                own["duplicates"] += 1
+                continue
+            seen.add(r.fp)
+            take = min(r.n, left[r.split])
+            if take:
+                left[r.split] -= take
+                own[f"{r.split}_documents"] += 1
+                own[f"{r.split}_tokens"] += take
+                own["truncated"] += take < r.n
+            if not any(left.values()):
+                break
+        assert not any(left.values()), left
+        expected[name] = own
+    got = {r.source: r.asDict() for r in corpus.source_counters(df, F.col("source"), ["b", "a"], budgets).collect()}
+    assert got == {s: {"source": s, **own} for s, own in expected.items()}
+    assert all(own["duplicates"] and own["truncated"] and own["filtered"] for own in expected.values())
