@@ -118,14 +118,13 @@ def covered(token: str) -> float:
 def describe(text: str, a: int, b: int) -> list[float]:
     """The forest's features of the candidate ``text[a:b]``."""
     own = text[a:b]
-    head = own[:256]
-    kinds = [_kind(c) for c in head]
+    kinds = [_kind(c) for c in own]
     shifts = Counter((x, y) for x, y in zip(kinds, kinds[1:], strict=False) if x != y)
-    counts = Counter(head)
-    n = len(head)
+    counts = Counter(own)
+    n = len(own)
     before, after = text[max(0, a - CONTEXT) : a].lower(), text[b : b + CONTEXT].lower()
     near = before[-28:]
-    low = head.lower()
+    low = own.lower()
     hexes = all(c in "0123456789abcdef-" for c in low)
     return [
         float(len(own)),
@@ -136,13 +135,13 @@ def describe(text: str, a: int, b: int) -> list[float]:
         kinds.count(2) / n,
         kinds.count(1) / n,
         kinds.count(3) / n,
-        covered(head),
-        float(head.count("/")),
-        float(head.count(".")),
-        float(head.count("-") + head.count("_")),
+        covered(own),
+        float(own.count("/")),
+        float(own.count(".")),
+        float(own.count("-") + own.count("_")),
         float(hexes),
-        float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", head))),
-        float(bool(PREFIX.match(head)) or head.startswith("-----BEGIN")),
+        float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", own))),
+        float(bool(PREFIX.match(own)) or own.startswith("-----BEGIN")),
         float("://" in text[max(0, a - 8) : b] or before.endswith("@") or after.startswith("@") or before.endswith("/")),
         float(any(k in near for k in KEYWORDS)),
         float(near.rstrip(" \"'").endswith(("=", ":"))),
@@ -150,7 +149,7 @@ def describe(text: str, a: int, b: int) -> list[float]:
         float(any(re.search(rf"\b{k}", before) for k in BENIGN)),
         float(any(p in low for p in PLACEHOLDER)),
         float(len(counts) / n),
-        max((len(m.group(0)) for m in re.finditer(r"[A-Za-z]+", head)), default=0) / n,
+        max((len(m.group(0)) for m in re.finditer(r"[A-Za-z]+", own)), default=0) / n,
     ]
 
 

@@ -126,6 +126,15 @@ def test_secrets_in_unquoted_settings():
         assert (a, b) in own or not any(x < b and a < y for x, y in own)
 
 
+def test_the_end_of_a_long_candidate_counts():
+    rng = random.Random(2)
+    path = "/".join(["home/user/project/file"] * 12) + "/"
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400))
+    model = secrets.train()
+    score = lambda token: secrets.judged(model, [f"see {token} x"])[0][0][2]
+    assert len(path) > 256 and score(path + key) >= secrets.THRESHOLD > score(path * 2 + "a1")
+
+
 def test_word_hashes_do_not_depend_on_spans(monkeypatch):
     texts = pa.array(["a bb  ccc", None, "", "ä b\x0bc", "word " * 400 + "x" * 300])
     h, n = C.batch_words(texts)
