@@ -53,7 +53,7 @@ def spans_of(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int,
         a = int(offsets[d])
         if offsets[d + 1] - a > SPAN:
             end = int(offsets[d + 1])
-            for s in range(a, end - length + 1, SPAN - length):
+            for s in range(a, end - length + 1, SPAN - length + 1):
                 yield d, d + 1, s, min(end, s + SPAN)
             d += 1
             continue

@@ -46,3 +46,11 @@ def test_long_texts_are_cut_for_hashing_only(spark, monkeypatch):
     doc, first, last, *_ = S.runs(data, offsets, 200, 128)
     seen = sorted({(d, k) for d, a, b in zip(doc, first, last) for k in range(a, b + 1)})
     assert seen == [(0, k) for k in range(4801)] + [(2, k) for k in range(3801)]
+
+
+def test_pieces_of_a_long_document_share_no_window(monkeypatch):
+    monkeypatch.setattr(S, "SPAN", 1024)
+    for size in (1025, 1848, 1849, 1850, 5000):
+        pieces = list(S.spans_of(S.np.array([0, size]), 200))
+        starts = [w for _, _, a, b in pieces for w in range(a, b - 200 + 1)]
+        assert starts == list(range(size - 200 + 1)), size
