@@ -62,6 +62,12 @@ def embedding_lookup(tokens: DataFrame, table: DataFrame) -> DataFrame:
     return tokens.join(table, "token")
 
 
+def token_vectors(texts: DataFrame, sequence: str, pieces: Column, table: DataFrame, rows: int) -> DataFrame:
+    """``sequence, pos, token, vector`` of every piece of every text; a piece's token is its hash among ``rows`` ids."""
+    each = texts.select(F.col(sequence), F.posexplode(pieces).alias("pos", "piece"))
+    return embedding_lookup(each.select(sequence, "pos", F.pmod(F.xxhash64("piece"), F.lit(rows)).alias("token")), table).select(sequence, "pos", "token", "vector")
+
+
 def causal_attention(df: DataFrame, sequence: str, pos: str, x: str, value: str) -> DataFrame:
     """One head with x as query and key: softmax over earlier positions of the sequence, weighted scalar value.
 

@@ -518,8 +518,8 @@ def causal_attention(spark, d):
 
 @query
 def embedding_lookup(spark, d):
-    tokens = docs(spark, d).select("doc_id", F.posexplode(X.words(F.lower("lang"))).alias("pos", "token"), (F.col("doc_id") % 200).alias("vec_id"))
-    return V.embedding_lookup(tokens.select("doc_id", "pos", F.col("vec_id").alias("token")), vectors(spark, d).select(F.col("vec_id").alias("token"), "label")).select("doc_id", F.col("token").cast("long").alias("token"), F.col("label").cast("long").alias("label"))
+    tokens = docs(spark, d).select("doc_id", (F.col("doc_id") % 200).alias("token"))
+    return V.embedding_lookup(tokens, vectors(spark, d).select(F.col("vec_id").alias("token"), "label")).select("doc_id", F.col("token").cast("long").alias("token"), F.col("label").cast("long").alias("label"))
 
 
 @query

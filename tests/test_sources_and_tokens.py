@@ -151,3 +151,17 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == 2
+
+
+def test_every_token_of_a_text_has_its_vector(spark, tmp_path):
+    from corvane.plans.queries import QUERIES
+
+    docs = spark.createDataFrame([(1, "a b a", None), (2, None, "en"), (3, "", "de"), (4, "b", None)], "doc_id long, text string, lang string")
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "token long, vector array<double>")
+    got = sorted((r.doc_id, r.pos, r.token, r.vector) for r in V.token_vectors(docs, "doc_id", F.split("text", " ", -1), table, 7).where("doc_id <> 3").collect())
+    a, b = (spark.range(1).select(F.pmod(F.xxhash64(F.lit(x)), F.lit(7))).first()[0] for x in "ab")
+    assert got == [(i, k, t, [float(t), 1.0]) for i, k, t in ((1, 0, a), (1, 1, b), (1, 2, a), (4, 0, b))]
+    # the query keeps documents without a language
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [0.5, 1.0], i) for i in range(5)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r.doc_id for r in QUERIES["embedding_lookup"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
