@@ -16,6 +16,7 @@ by one; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -33,19 +34,38 @@ TOKENIZER = "word_bpe_49k.json"
 SLICES = 256
 
 
-# The tokenizer's split into words, over characters on which all versions of Unicode agree.
-WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^\\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-PLAIN = re.compile("[\t-\r\x20-\x7e\u00c0-\u012f\u0131-\u024f]*")
+# The rules of a tokenizer file that ``WordIds`` can follow word by word.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The Latin letters that NFC leaves alone, on which all versions of Unicode agree.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LETTER = re.compile(f"[{LETTERS}]+")
+#: ``SPLIT`` over those letters, and the texts that it splits as the tokenizer does: their lower case has no other letters.
+WORDS = re.compile(SPLIT.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9"))
+PLAIN = re.compile("[\t-\r\x20-\x7e\u00d7\u00f7" + "".join(c for c in map(chr, range(0xC0, 0x250)) if _LETTER.fullmatch(c) and _LETTER.fullmatch(c.lower())) + "]*")
 BLANKS = re.compile("[\t-\r ]+")
 ENDS = "</w>"
 
 
+def word_by_word(rules: dict) -> bool:
+    """Whether a tokenizer's file has the rules that ``WordIds`` follows."""
+    steps = (rules.get("normalizer") or {}).get("normalizers") or []
+    split, *rest = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        tuple(s["type"] for s in steps) == NORMALIZERS and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and split.get("pattern") == {"Regex": SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and [(s["type"], s.get("add_prefix_space"), s.get("use_regex")) for s in rest] == [("ByteLevel", False, False)]
+        and rules["model"].get("end_of_word_suffix") == ENDS and not rules["model"].get("dropout") and all("<|" in t["content"] for t in rules["added_tokens"])
+    )
+
+
 class WordIds(dict):
     """A lower-cased word to the little-endian bytes of its ids.
 
-    Exact for a tokenizer that drops white space, lowers case, and encodes each word by itself: new words are encoded
-    many at a time and told apart by their end-of-word ids. Chunks of unusual characters, kept under a key that starts
-    with a blank, go to the tokenizer as they are. The table is bounded; it forgets all when full.
+    Exact for a tokenizer that drops white space, lowers case, and encodes each word by itself, which its file says:
+    new words are encoded many at a time and told apart by their end-of-word ids. Chunks of unusual characters, kept
+    under a key that starts with a blank, go to the tokenizer as they are, and so does every text of a tokenizer with
+    other rules. The table is bounded; it forgets all when full.
     """
 
     limit, block = 400_000, 2_000
@@ -54,6 +74,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = word_by_word(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(ENDS)]] = True
@@ -61,10 +82,9 @@ class WordIds(dict):
     def direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    @staticmethod
-    def split(text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
         """The keys of a text, in order."""
-        if "<|" in text:  # may hold special tokens, which are matched before case is lowered
+        if not self.by_word or "<|" in text:  # may hold special tokens, which are matched before case is lowered
             return [" " + text]
         if PLAIN.fullmatch(text):
             return WORDS.findall(text.lower())

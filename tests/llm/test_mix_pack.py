@@ -95,6 +95,34 @@ def test_ids_of_unusual_texts():
         assert b"".join(known[k] for k in keys) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_ids_of_every_plain_character():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tokenizer, known = Tokenizer.from_file(path), packing.WordIds(path)
+    assert known.by_word
+    tried = [c for c in map(chr, range(0x250)) if packing.PLAIN.fullmatch(c)]
+    assert len(tried) > 350 and not packing.PLAIN.fullmatch("\u0181") and not packing.PLAIN.fullmatch("\u023a")
+    for c in map(chr, [*range(1, 0x250), 0x1E9E, 0x2126, 0x212A, 0x1F600]):
+        for text in (f"Ab{c}Cd", f"x {c}{c} 1{c}'S", f"{c}"):
+            keys = known.split(text)
+            known.learn(set(keys))
+            assert b"".join(known[k] for k in keys) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), (hex(ord(c)), text)
+
+
+def test_a_tokenizer_with_other_rules_is_asked_itself(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    tokenizer, known = Tokenizer.from_file(path), packing.WordIds(path)
+    assert not known.by_word
+    texts = ["Two  Words\n and\tmore", " x", "", "Ünïcode's 12 "]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_fullest_is_the_best_sum():
     rng = np.random.default_rng(4)
     for _ in range(60):
