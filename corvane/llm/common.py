@@ -43,6 +43,25 @@ def tidy(run):
     return whole
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until none of ``columns`` is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_rows(df: DataFrame, run, text: str = "text") -> DataFrame:
+    """``df`` through a batch function that keeps its columns by place; names never matter, and ``text`` comes out as string."""
+    fields = [T.StructField(f"c{i}", T.StringType() if f.name == text else f.dataType) for i, f in enumerate(df.schema)]
+    return df.toDF(*(f.name for f in fields)).mapInArrow(tidy(run), T.StructType(fields)).toDF(*df.columns)
+
+
 def crc_remainder(key: Column, divisor: int) -> Column:
     """``crc32(key as text) mod divisor``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % divisor

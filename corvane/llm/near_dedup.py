@@ -14,9 +14,12 @@ components was compared. Pairs reach verification only if their sizes and one bi
 the threshold (a true pair fails that with probability under 1e-10); verification then counts the intersection of
 the whole sets.
 
+Joins on buckets and shingles deal hot keys over many tasks (``operators/skew.py``).
+
 Edge cases: a null, empty or wordless text has an empty set and is linked with nothing; with fewer words than a
-shingle has, the whole sequence is one shingle; a null ``doc_id`` is returned with its size, no component, and
-kept; rows that share a ``doc_id`` are one node of the graph; other columns are ignored.
+shingle has, the whole sequence is one shingle; in ``near_duplicates`` a null ``doc_id`` is returned with its size, no
+component, and kept, and rows that share a ``doc_id`` are one node of the graph; ``keep_one`` judges rows, whatever
+their ids; other columns are ignored, or kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corvane.llm import common as C
 from corvane.operators.components import components
+from corvane.operators.skew import spread_join
 
 BANDS, ROWS = 32, 5
 #: Agreeing bits of 128 below which a pair isn't verified; 115 are expected at similarity 0.8.
@@ -137,8 +141,9 @@ def prefix_buckets(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     every pair that is to be linked shares a key, while a passage that many documents hold is in few prefixes.
     """
     rows = C.settle(sets.join(ids, "id", "left_semi").select("id", "members").mapInArrow(list_batches, "id long, grams array<long>").select("id", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
-    often = rows.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
-    ordered = rows.join(often, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
+    often = C.settle(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    known = often.select("g", F.col("n").alias("f"))
+    ordered = spread_join(rows, known, ["g"], often, F.col("id")).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
     # shingles of one set alone come first and meet nothing: they only shorten the rest of the prefix
     alone = F.col("n") - F.size("o")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - alone
@@ -172,8 +177,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         "representatives",
     )
     spread = reps.select("id", F.explode("bands").alias("key")).distinct()
-    shared = spread.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1").select("key", "pivot")
-    buckets = C.settle(spread.join(shared, "key").select("key", "id", "pivot"), "buckets")
+    shared = C.settle(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1"), "shared")
+    buckets = C.settle(spread_join(spread, shared.select("key", "pivot"), ["key"], shared, F.col("id")).select("key", "id", "pivot"), "buckets")
     C.release(spark)
     wanted = reps.select("id", "bits0", "bits1").join(buckets.select("id").distinct(), "id")
     sets = C.settle(
@@ -198,22 +203,27 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
     roots = C.settle(components(C.settle(verified(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))), "links")), "roots")
     # buckets that the first pivots left open are dealt anew, by rare shingles
-    live = _unresolved(prefix_buckets(sets, _open_ids(buckets, roots), percent), roots, percent)
+    live, sizes = _unresolved(prefix_buckets(sets, _open_ids(buckets, roots), percent), roots, percent)
     pivots = 4
     while not live.isEmpty():
-        first = live.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("n", "id"))).where(F.col("rank") <= pivots)
+        ranked = F.row_number().over(Window.partitionBy("key").orderBy("n", "id"))
+        first = C.settle(live.withColumn("rank", ranked).where(F.col("rank") <= pivots), "pivots")
         last = first.groupBy("key").agg(F.max(F.struct("n", "id")).alias("last"))
         ahead = first.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "r", "root")))
         later = F.struct("n", "id") > F.struct(F.col("n_a"), F.col("id_a"))
         fits = (percent * (F.col("n") + F.col("n_a")) <= (100 + percent) * F.least("r", "r_a")) & (100 * F.col("n_a") >= percent * F.col("n"))
-        pairs = live.join(ahead, (live["key"] == ahead["key"]) & later & (F.col("root") != F.col("root_a")) & fits).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
+        pairs = spread_join(live, ahead, ["key"], sizes, F.col("id")).where(later & (F.col("root") != F.col("root_a")) & fits).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
         links = C.settle(verified(pairs), "links")
         if not links.isEmpty():
             step = C.settle(components(_contract(links, roots)), "steps")
             roots = C.settle(_compose(roots, step), "roots")
-        rest = _unresolved(live.join(last, "key").where(F.struct("n", "id") > F.col("last")).select("key", "id", "n", "r"), roots, percent)
-        C.forget(live)
-        live, pivots = rest, pivots * 4
+        beyond = spread_join(live, last, ["key"], sizes, F.col("id")).where(F.struct("n", "id") > F.col("last")).select("key", "id", "n", "r")
+        rest, rest_sizes = _unresolved(beyond, roots, percent)
+        for x in (live, sizes, first, links):
+            C.forget(x)
+        live, sizes, pivots = rest, rest_sizes, pivots * 4
+    for x in (live, sizes, sets, buckets, shared):
+        C.forget(x)
     named = reps.select("s1", "s2", "id").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id"))
     own = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("s1")).alias("s1"), "s2")
     out = own.join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -227,22 +237,24 @@ def _rooted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def _open_ids(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component."""
     known = C.settle(_rooted(buckets.select("key", "id"), roots), "members")
-    split = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    return C.settle(known.join(split, "key", "left_semi").select("id").distinct(), "open")
+    split = C.settle(known.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1"), "split")
+    return C.settle(spread_join(known, split.select("key"), ["key"], split, F.col("id")).select("id").distinct(), "open")
 
 
-def _unresolved(buckets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Members, with their roots, of the buckets that hold more than one component; written out.
+def _unresolved(buckets: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members, with their roots, of the buckets that hold more than one component, and these buckets' sizes; written out.
 
     Sets whose first common shingle is the key share ``least(r)`` shingles at most, and need ``percent / (100 +
     percent)`` of both sizes; members that miss that even with the bucket's smallest size and largest ``r`` leave.
     """
     known = C.settle(_rooted(buckets, roots), "members")
-    split = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least_n"), F.max("r").alias("most_r")).where("r0 <> r1")
-    met = known.join(split, "key").where(percent * (F.col("n") + F.col("least_n")) <= (100 + percent) * F.least("r", "most_r"))
-    out = C.settle(met.select("key", "id", "n", "r", "root"), "live")
+    split = C.settle(known.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least_n"), F.max("r").alias("most_r")).where("r0 <> r1"), "split")
+    met = spread_join(known, split.select("key", "least_n", "most_r"), ["key"], split, F.col("id")).where(percent * (F.col("n") + F.col("least_n")) <= (100 + percent) * F.least("r", "most_r"))
+    live = C.settle(met.select("key", "id", "n", "r", "root"), "live")
+    sizes = C.settle(live.groupBy("key").agg(F.count("*").alias("n")), "sizes")
     C.forget(known)
-    return out
+    C.forget(split)
+    return live, sizes
 
 
 def _contract(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -259,13 +271,24 @@ def _compose(roots: DataFrame, step: DataFrame) -> DataFrame:
     return old.unionByName(step.join(roots, "id", "left_anti").select("id", "root"))
 
 
+def numbered(documents: DataFrame, name: str) -> DataFrame:
+    """``documents`` with a row number in the column ``name``, by ``doc_id`` (null last); written out."""
+    at = F.monotonically_increasing_id()
+    order = [F.col("doc_id").asc_nulls_last(), C.quoted(name)]
+    return C.settle(documents.withColumn(name, at).repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, at), "numbered")
+
+
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each near-duplicate group, with the columns of ``documents``; rows without an id all stay."""
-    found = C.settle(near_duplicates(documents, words, percent), "verdicts")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    out = documents.join(dropped, "doc_id", "left_anti")
-    repeats = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeats.isEmpty():
-        return out.select(*documents.columns)
-    once = out.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(repeats, "doc_id", "left_anti").select(*documents.columns).unionByName(once.select(*documents.columns))
+    """One row of each near-duplicate group, the one with the smallest id, with the columns of ``documents``.
+
+    Where all rows have an id of their own, it names them; otherwise they are numbered first, so that rows without an
+    id or with the id of another text are judged like all others.
+    """
+    if documents.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        rows, key = documents, "doc_id"
+    else:
+        key = C.fresh("row", documents.columns)
+        rows = numbered(documents, key)
+    found = C.settle(near_duplicates(rows.select(C.quoted(key).cast("long").alias("doc_id"), "text"), words, percent), "verdicts")
+    dropped = found.where("not kept").select(F.col("doc_id").alias(key))
+    return rows.join(dropped, key, "left_anti").select(*(C.quoted(c) for c in documents.columns))

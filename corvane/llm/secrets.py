@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm import common as C
 
@@ -301,7 +301,7 @@ def mask_secrets(documents: DataFrame, model: Forest | None = None, mask: str =
     spark = documents.sparkSession
     C.small_batches(spark)
     shared = spark.sparkContext.broadcast(model or train())
-    columns = documents.columns
+    at = documents.columns.index("text")
 
     def clean(text: str | None, found: list[tuple[int, int, float]]) -> str | None:
         for a, b, s in reversed(found):
@@ -311,10 +311,8 @@ def mask_secrets(documents: DataFrame, model: Forest | None = None, mask: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = columns.index("text")
             texts = batch.column(at).to_pylist()
             out = [clean(t, f) for t, f in zip(texts, judged(shared.value, texts), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns)], columns)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.column(at).type))
 
-    fields = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in documents.schema]
-    return documents.mapInArrow(C.tidy(run), T.StructType(fields))
+    return C.map_rows(documents, run)

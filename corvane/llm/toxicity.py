@@ -105,34 +105,36 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", limit:
     return weights, bias
 
 
-def score_texts(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """All columns of ``documents`` but those named ``score`` and ``predicted``, plus those two; whole texts, no shuffle."""
-    spark = documents.sparkSession
-    C.small_batches(spark)
-    kept = [c for c in documents.columns if c.lower() not in ("score", "predicted")]
-    model = spark.sparkContext.broadcast((weights, bias))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = model.value
-        for batch in batches:
-            rows, idx = features(batch.column("text"))
-            total = np.bincount(rows, weights=w[idx], minlength=batch.num_rows) + b
-            p = 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700))) if np.isfinite(b) else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*kept, "score", "predicted"])
-
-    fields = documents.select(*kept).schema
-    return documents.select(*kept).mapInArrow(C.tidy(score), C.T.StructType([*fields.fields, C.T.StructField("score", C.T.DoubleType()), C.T.StructField("predicted", C.T.IntegerType())]))
+def scores(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The score of each text of a batch."""
+    rows, idx = features(texts)
+    total = np.bincount(rows, weights=weights[idx], minlength=len(texts)) + bias
+    return 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700))) if np.isfinite(bias) else np.zeros(len(texts))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``documents``."""
-    weights, bias = train(documents, labels)
-    scored = score_texts(documents.select("doc_id", "text"), weights, bias)
+    spark = documents.sparkSession
+    model = spark.sparkContext.broadcast(train(documents, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = scores(batch.column("text"), *model.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = F.coalesce(C.crc_remainder(F.col("doc_id"), DIVISOR) == HELD_OUT, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+    return own.mapInArrow(C.tidy(run), "doc_id long, score double, predicted int").select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that the model does not reject, with their columns."""
-    weights, bias = train(documents, labels)
-    return score_texts(documents, weights, bias).where("predicted = 0").select(*documents.columns)
+    """The rows of ``documents`` that the model does not reject; whatever their columns are called, they stay as they are."""
+    spark = documents.sparkSession
+    model = spark.sparkContext.broadcast(train(documents, labels))
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at), *model.value) < THRESHOLD))
+
+    return C.map_rows(documents, run)

@@ -73,6 +73,17 @@ def test_keep_one(docs, rows, no_docs):
     assert N.keep_one(no_docs).collect() == []
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    """Rows of other texts that share an id, and rows without one, are judged by their texts; columns stay as they are."""
+    a, b, c = "a b c d e f g", "v w x y z q r", "k l m n o p q"
+    rows = [(1, a, "m"), (1, b, "n"), (2, a, "o"), (None, c, "p"), (None, c, "q"), (3, c, "r"), (3, c, "r"), (4, "", "s"), (4, "", "s"), (None, None, None)]
+    got = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string, `row` string").withColumnRenamed("row", "Row"))
+    assert got.columns == ["doc_id", "text", "Row"]
+    assert Counter(tuple(r) for r in got.collect()) == Counter([rows[0], rows[1], rows[6], rows[7], rows[8], rows[9]])
+    odd = spark.createDataFrame([(1, a, 1), (2, a, 2), (3, b, 3)], "doc_id long, text string, `a.b` long")
+    assert {tuple(r) for r in N.keep_one(odd).collect()} == {(1, a, 1), (3, b, 3)}
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 300).astype(np.uint64)
