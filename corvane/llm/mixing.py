@@ -11,9 +11,13 @@ Within a source documents follow the hash of their id. The first ``size`` words
 once, the rest starts again from the front; the document at the border is taken in part, so the words taken equal
 the target rounded down.
 
+Rows that are equal in all that counts are added up before any shuffle and told apart again by their number at the end,
+and the join with the sources' targets deals a hot source over many tasks.
+
 Edge cases: a null text has size 0 and takes nothing; documents without a source form a source of their own, last
-in order; sources without words have target 0; repeated rows count one by one; other columns are ignored; an
-empty table gives an empty result.
+in order; sources without words have target 0; repeated rows count one by one, each with words of its own; other
+columns are ignored by ``mix`` and kept, whatever their names, by ``mixed_documents``; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.llm import common as C
 from corvane.operators.order import running
+from corvane.operators.skew import spread_join
 
 #: The share of all words that the mix holds, the most a source may be repeated, and the cycle of weights.
 SHARE, MOST, WEIGHTS = 1.5, 2, (5, 2, 1)
@@ -66,18 +71,40 @@ def text_crc(text: Column) -> Column:
     return F.crc32(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
-def assign(documents: DataFrame) -> DataFrame:
-    """``doc_id, size, crc, source_size, target, taken, position, again``; one narrow row per document, in no order.
+def row_keys(documents: DataFrame) -> list[Column]:
+    """Two hashes of a whole row: rows that share both are equal in every column."""
+    columns = [F.to_json(C.quoted(f.name)) if f.dataType.typeName() == "map" else C.quoted(f.name) for f in documents.schema]
+    nulls = F.concat(*(F.when(c.isNull(), "0").otherwise("1") for c in columns))
+    return [F.xxhash64(F.lit(seed), nulls, *columns) for seed in (1, 2)]
 
-    ``position`` and ``again`` are those of its first and second use; null for a use that takes nothing.
+
+def place(documents: DataFrame, keys: list[Column]) -> DataFrame:
+    """Equal rows as one: ``doc_id, source, size, crc, __h..., __deal, rows, before`` and their source's ``source_size, target``.
+
+    ``before`` are the words of the source in front of the first of ``rows``; the others follow it. Rows are added up
+    in 64 parts, so that no number of copies makes a group of all of them.
     """
     own = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
         F.sha2(F.col("doc_id").cast("long").cast("string"), 256).alias("h"), text_crc(F.col("text")).alias("crc"),
+        *(k.alias(f"__h{i}") for i, k in enumerate(keys)), (F.spark_partition_id() % 64).alias("__deal"),
     )
-    placed = C.settle(running(own, ["source"], ["h", "doc_id", "size", "crc"], {"before": "size"}, label="mix"), "placed")
-    goal = C.settle(targets(placed.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets").select(F.col("source").alias("s"), "source_size", "target")
-    joined = placed.join(goal, F.col("source").eqNullSafe(F.col("s")))
+    groups = own.groupBy(*own.columns).agg(F.count("*").alias("rows")).withColumn("words", F.col("rows") * F.col("size"))
+    order = ["h", "doc_id", "size", "crc", *(f"__h{i}" for i in range(len(keys))), "__deal"]
+    placed = C.settle(running(groups, ["source"], order, {"before": "words"}, label="mix").drop("h").withColumn("__s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), "placed")
+    sums = C.settle(placed.groupBy("source", "__s").agg(F.sum("words").alias("source_size"), F.count("*").alias("n")), "sources")
+    goal = C.settle(targets(sums.select("source", "source_size")), "targets").select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("__s"), "source_size", "target")
+    return spread_join(placed, goal, ["__s"], sums, F.xxhash64("before", "doc_id")).drop("__s", "words")
+
+
+def assign(documents: DataFrame, keys: list[Column] | None = None) -> DataFrame:
+    """``doc_id, size, crc, source_size, target, taken, position, again, __h...``; one narrow row per document, in no order.
+
+    ``position`` and ``again`` are those of its first and second use; null for a use that takes nothing.
+    """
+    names = [f"__h{i}" for i in range(len(keys or []))]
+    nth = place(documents, keys or []).withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    joined = nth.withColumn("before", F.col("before") + F.col("__nth") * F.col("size"))
     whole = F.floor("target")
     part = lambda start: F.greatest(F.least(whole - start, F.col("size")), F.lit(0))
     taken = (part(F.col("before")) + part(F.col("before") + F.col("source_size"))).cast("long")
@@ -85,7 +112,7 @@ def assign(documents: DataFrame) -> DataFrame:
     out = joined.withColumn("taken", taken).withColumns({
         "position": F.when(F.col("taken") > 0, at(F.col("before"))), "again": F.when(F.col("taken") > F.col("size"), at(F.col("before") + F.col("source_size"))),
     })
-    return out.select("doc_id", "size", "crc", "source_size", "target", "taken", "position", "again")
+    return out.select("doc_id", "size", "crc", "source_size", "target", "taken", "position", "again", *names, "__deal", "__nth")
 
 
 def mix(documents: DataFrame) -> DataFrame:
@@ -93,33 +120,35 @@ def mix(documents: DataFrame) -> DataFrame:
 
     ``position`` is that of a document's first use; null where nothing is taken. ``assign`` has that of the second too.
     """
-    return assign(documents).drop("crc", "again").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return assign(documents).select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` as often as the mix takes them, each use at its own position, with the same columns.
 
     A document that the mix takes in part is cut behind its last taken word; a document of no words never counts
-    towards a target and stays once. Columns keep their names and order. Texts move twice: to their narrow row of
-    the mix, and to their position.
+    towards a target and stays once. Texts move twice: to their narrow row of the mix, and to their position. Rows
+    that are equal in every column move as one.
     """
-    columns = documents.columns
-    nth = lambda order: F.row_number().over(Window.partitionBy("__id", "__crc").orderBy(order))
-    narrow = assign(documents).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("crc").alias("__crc"), "size", "taken", "position", "again")
-    narrow = narrow.withColumn("__n", nth("position")).withColumnsRenamed({"size": "__size", "taken": "__taken", "position": "__position", "again": "__again"})
-    rows = documents.select(F.struct(*(F.col(c) for c in columns)).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id2"), text_crc(F.col("text")).alias("__crc2"))
-    rows = rows.withColumn("__n2", F.row_number().over(Window.partitionBy("__id2", "__crc2").orderBy("__id2")))
-    # a comparison of the counters that isn't an equi-join key: both sides stay as the windows dealt them
-    met = rows.join(narrow, (F.col("__id") == F.col("__id2")) & (F.col("__crc") == F.col("__crc2")) & (F.abs(F.col("__n") - F.col("__n2")) < 1))
-    size, taken = F.col("__size"), F.col("__taken")
+    keys, names = row_keys(documents), ["__h0", "__h1"]
+    columns = [f"c{i}" for i in range(len(documents.columns))]
+    rows = documents.select(F.struct(*(C.quoted(c).alias(x) for c, x in zip(documents.columns, columns, strict=True))).alias("__row"), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    narrow = C.settle(assign(documents, keys).select("doc_id", "size", "taken", "position", "again", *names, "__deal", "__nth"), "uses")
+    copies = C.settle(narrow.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    if copies.isEmpty():
+        met = narrow.join(rows, names)
+    else:
+        met = spread_join(narrow, rows.groupBy(*names).agg(F.first("__row").alias("__row")), names, copies, F.xxhash64("__deal", "__nth"))
+    size, taken = F.col("size"), F.col("taken")
     nothing = F.lit(0).cast("long")
     use = lambda n, at: F.struct(n.alias("n"), F.col(at).alias("at"))
-    both = F.filter(F.array(use(F.least(taken, size), "__position"), use(F.greatest(taken - size, nothing), "__again")), lambda x: x["n"] > 0)
-    uses = F.when(size == 0, F.array(use(nothing, "__position"))).otherwise(both)
+    both = F.filter(F.array(use(F.least(taken, size), "position"), use(F.greatest(taken - size, nothing), "again")), lambda x: x["n"] > 0)
+    uses = F.when(size == 0, F.array(use(nothing, "position"))).otherwise(both)
     again = met.withColumn("__one", F.explode(uses)).withColumns({"__use": F.col("__one.n"), "__at": F.col("__one.at")})
-    text = F.col("__row.text")
+    text = F.col("__row").getField(columns[documents.columns.index("text")])
     # only the few documents at a border are cut: into words with the blanks before them
     parts = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.array_join(F.slice(parts, F.lit(1), F.col("__use").cast("int")), "")
     kept = F.when((F.col("__use") < size) & (size > 0), cut).otherwise(text)
-    return again.orderBy(F.col("__at").asc_nulls_last(), "__id").select(*(kept.alias(c) if c == "text" else F.col(f"__row.{c}").alias(c) for c in columns))
+    ordered = again.orderBy(F.col("__at").asc_nulls_last(), "doc_id")
+    return ordered.select(*((kept if c == "text" else F.col("__row").getField(x)).alias(c) for c, x in zip(documents.columns, columns, strict=True)))

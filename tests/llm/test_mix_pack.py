@@ -146,6 +146,20 @@ def test_a_long_text_at_the_border_is_cut_behind_its_last_taken_word(spark):
     assert all(rows[0][1].startswith(p) for p in parts) and not parts[0][-1].isspace()
 
 
+def test_rows_of_any_name_and_many_copies(spark):
+    """Copies take words one by one, rows that differ only in other columns are told apart, and reruns agree."""
+    rows = [(1, "a b c d", "s", None, "x")] * 3000 + [(1, "a b c d", "s", "y", None)] * 3 + [(1, "a b c d", "t", None, "x")] * 5 + [(-1, "a b", "t", "p", "q"), (None, "a b", "t", "p", "q"), (2, "", "s", "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` string, size string").repartition(5)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    have = Counter(tuple(r) for r in out.collect())
+    assert have == Counter(tuple(r) for r in mixing.mixed_documents(docs.repartition(2)).collect())
+    assert set(have) <= {(i, t[:k], *r) for i, t, *r in rows for k in (0, 1, 3, 5, 7)} and have[rows[-1]] == 1
+    taken = sum(r.taken for r in mixing.mix(docs).collect())
+    assert sum(len(k[1].split()) * n for k, n in have.items()) == taken == sum(int(t + 1e-9) for t in targets({"s": 12012, "t": 24}).values())
+    assert sum(n for k, n in have.items() if k[3] == "y") >= 3
+
+
 def test_second_uses_come_after_the_whole_source(spark):
     # source c is taken twice, b and a in part
     rows = [(i, "w " * 10, "c") for i in range(40)] + [(100 + i, "v " * 10, "a") for i in range(60)] + [(200 + i, "u " * 10, "b") for i in range(60)]
