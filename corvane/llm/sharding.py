@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.llm import common as C
 from corvane.operators.order import running
+from corvane.operators.skew import spread_join
 
 SHARDS, OVERHEAD, LEVELS = 40, 16, 8
 
@@ -60,13 +61,15 @@ def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"),
-        F.xxhash64(raw).alias("h"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+        F.xxhash64(raw).alias("h"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("row"),
     )
     own = C.settle(own, "shard-keys")
     group = ["h", "text_crc32", "size"]
-    box = own.groupBy(*group).agg(F.min("lang").alias("lang"), F.min("source").alias("source")).select(*group, hilbert(cells(F.col("size"), F.col("lang"), F.col("source"))).alias("curve"))
-    placed = running(own.drop("lang", "source").join(box, group).withColumn("one", F.lit(1)), [], ["curve", "text_crc32", "h", "doc_id"], {"rank": "one"}, label="curve")
-    total = own.agg(F.count("*").alias("total"))
+    box = C.settle(own.groupBy(*group).agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.count("*").alias("n")).select(*group, "n", hilbert(cells(F.col("size"), F.col("lang"), F.col("source"))).alias("curve")), "boxes")
+    # a group of equal texts may hold any share of all rows
+    met = spread_join(own.drop("lang", "source"), box.drop("n"), group, box, F.col("row"))
+    placed = running(met.withColumn("one", F.lit(1)), [], ["curve", "text_crc32", "h", "doc_id", "row"], {"rank": "one"}, label="curve")
+    total = box.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     out = placed.crossJoin(F.broadcast(total))  # one row
     at = F.expr(f"cast(rank * {shards} div total as int)")
     return out.withColumn("shard", at).select(

@@ -29,6 +29,55 @@ def test_shards(docs, rows, no_docs):
     assert shard(no_docs).collect() == []
 
 
+def curve_by_hand(x, bits=8):
+    """Skilling's transposed Hilbert index of a cell, written out over plain integers."""
+    x, n, q = list(x), len(x), 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        t ^= q - 1 if x[-1] & q else 0
+        q >>= 1
+    out = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            out = out << 1 | ((v ^ t) >> b & 1)
+    return out
+
+
+def test_cells_and_order_by_curve(docs, rows):
+    name = lambda s: 0 if s is None else 1 + zlib.crc32(s.encode()) % 255
+    low = {}
+    for _, t, lang, source, *_ in rows:
+        least = lambda a, b: b if a is None else a if b is None else min(a, b)
+        old = low.get(t or "", (None, None))
+        low[t or ""] = (least(old[0], lang), least(old[1], source))
+    import math
+
+    got = shard(docs, 7).collect()
+    want = Counter(curve_by_hand((min(255, math.floor(math.log2(len(t.encode()) + 16) * 8)), name(lang), name(source))) for i, t, *_ in [(i, t or "") for i, t, *_ in rows] for lang, source in [low[t]])
+    assert Counter(r.curve for r in got) == want
+    order = [r.curve for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+
+
+def test_copies_without_end(spark):
+    rows = [(1, "same", None, None)] * 5000 + [(i, f"t{i}", "en", "a") for i in range(500)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 40).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == 5500 and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+
+
 def brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
