@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from corvane.sources.storage import forget, release, settle
+from corvane.sources.storage import forget, settle
 
-__all__ = ["T", "forget", "release", "settle"]
+__all__ = ["T", "forget", "settle"]
 
 #: Rows in one Arrow batch at most; long documents make large batches otherwise.
 BATCH_ROWS = 1000

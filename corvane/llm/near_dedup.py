@@ -179,13 +179,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     spread = reps.select("id", F.explode("bands").alias("key")).distinct()
     shared = C.settle(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1"), "shared")
     buckets = C.settle(spread_join(spread, shared.select("key", "pivot"), ["key"], shared, F.col("id")).select("key", "id", "pivot"), "buckets")
-    C.release(spark)
     wanted = reps.select("id", "bits0", "bits1").join(buckets.select("id").distinct(), "id")
     sets = C.settle(
         texts.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInArrow(C.tidy(set_batches(words)), "id long, n_shingles long, bits0 long, bits1 long, members binary"),
         "sets",
     )
-    C.release(spark)
     light = sets.select("id", "n_shingles", "bits0", "bits1")
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -219,11 +217,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
             roots = C.settle(_compose(roots, step), "roots")
         beyond = spread_join(live, last, ["key"], sizes, F.col("id")).where(F.struct("n", "id") > F.col("last")).select("key", "id", "n", "r")
         rest, rest_sizes = _unresolved(beyond, roots, percent)
-        for x in (live, sizes, first, links):
-            C.forget(x)
+        C.forget(live, sizes, first, links)
         live, sizes, pivots = rest, rest_sizes, pivots * 4
-    for x in (live, sizes, sets, buckets, shared):
-        C.forget(x)
+    C.forget(live, sizes, sets, buckets, shared)
     named = reps.select("s1", "s2", "id").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id"))
     own = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("s1")).alias("s1"), "s2")
     out = own.join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -252,8 +248,7 @@ def _unresolved(buckets: DataFrame, roots: DataFrame, percent: int) -> tuple[Dat
     met = spread_join(known, split.select("key", "least_n", "most_r"), ["key"], split, F.col("id")).where(percent * (F.col("n") + F.col("least_n")) <= (100 + percent) * F.least("r", "most_r"))
     live = C.settle(met.select("key", "id", "n", "r", "root"), "live")
     sizes = C.settle(live.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    C.forget(known)
-    C.forget(split)
+    C.forget(known, split)
     return live, sizes
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -36,6 +37,21 @@ def test_repeats_inside_one_text(spark):
     assert Counter(tuple(r) for r in got) == brute(rows, 200)
 
 
+def test_passages_of_every_length_around_the_window(spark):
+    """Passages just under, at and over the window's length, with other text on one side, both sides or none."""
+    rng = random.Random(7)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    rows, passages = [], [word(n) for n in (199, 200, 201, 233, 300, 470, 900)]
+    for k, p in enumerate(passages):
+        for j in range(4):
+            rows.append((10 * k + j, word(rng.randint(0, 90)) * (j != 1) + p + word(rng.randint(0, 90)) * (j != 2)))
+    # windows of one passage under two neighbours, which share each half with others
+    rows += [(1000 + i, a + passages[5] + b) for i, (a, b) in enumerate([(x, y) for x in (word(50), word(120)) for y in (word(40), word(130))])]
+    got = S.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == brute(rows, 200)
+    assert sum(r.n_removed > 0 for r in got) == 28
+
+
 def test_long_texts_are_cut_for_hashing_only(spark, monkeypatch):
     import numpy as np
 
@@ -43,8 +59,8 @@ def test_long_texts_are_cut_for_hashing_only(spark, monkeypatch):
     data = rng.integers(97, 123, 9000, dtype=np.uint8)
     monkeypatch.setattr(S, "SPAN", 1024)
     offsets = np.array([0, 5000, 5000, 9000])
-    doc, first, last, *_ = S.runs(data, offsets, 200, 128)
-    seen = sorted({(d, k) for d, a, b in zip(doc, first, last) for k in range(a, b + 1)})
+    doc, first, _, more, *_ = S.runs(data, offsets, 200, 128)
+    seen = sorted({(d, k) for d, a, n in zip(doc, first, more) for k in range(a, a + n + 1)})
     assert seen == [(0, k) for k in range(4801)] + [(2, k) for k in range(3801)]
 
 
