@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import text as X
 from corvane.operators.components import components
+from corvane.operators.skew import spread_join
 from corvane.sources.storage import settle
 
 
@@ -21,38 +22,41 @@ def canonical_key(*fields) -> F.Column:
 
 
 def similar_pairs(df: DataFrame, key: str, tokens: F.Column, n: int = 3, percent: int = 80) -> DataFrame:
-    """``a, b, shared, size_a, size_b``: pairs with Jaccard similarity of n-gram sets of ``percent`` or more, exact.
+    """``a, b, shared, size_a, size_b``: links between n-gram sets with Jaccard similarity of ``percent`` or more, exact.
 
-    Equal sets meet through their own digest. Different sets are joined on a prefix of their rarest grams only: two
-    sets at similarity s share a gram among the first ``size - ceil(s * size) + 1`` in any common order, so no pair is
-    lost and frequent grams join nothing. The intersection is then counted on whole sets.
+    Equal sets form a class, named by its smallest key, which is linked with each other member; links between different
+    sets join the classes' names. So a group of m copies costs m rows, and no link between different sets is lost.
+    Different sets are joined on a prefix of their rarest grams only: two sets at similarity s share a gram among the
+    first ``size - ceil(s * size) + 1`` in any common order. The intersection is then counted on whole sets.
     """
-    return _set_pairs(_gram_sets(df, key, tokens, n), percent)
+    star, first = _classes(df, key, tokens, n)
+    return star.unionByName(_set_pairs(first, percent))
 
 
 def similar_links(df: DataFrame, key: str, tokens: F.Column, n: int = 3, percent: int = 80) -> DataFrame:
-    """``a, b``: links with the same components as ``similar_pairs``, but linear in groups of equal sets.
-
-    Each set is linked with the smallest key that has an equal one, and only those are joined by similarity.
-    """
-    sets = _gram_sets(df, key, tokens, n).withColumn("sig", F.sha2(F.to_json(F.array_sort("grams")), 256))
-    low = sets.groupBy("sig").agg(F.min("id").alias("a"))
-    star = sets.select("id", "sig").join(low, "sig").where("a <> id").select("a", F.col("id").alias("b"))
-    first = sets.join(low, (sets["sig"] == low["sig"]) & (sets["id"] == low["a"]), "left_semi").select("id", "grams", "size")
-    return star.unionByName(_set_pairs(first, percent).select("a", "b"))
+    """``a, b``: the links of ``similar_pairs``."""
+    return similar_pairs(df, key, tokens, n, percent).select("a", "b")
 
 
-def _gram_sets(df: DataFrame, key: str, tokens: F.Column, n: int) -> DataFrame:
+def _classes(df: DataFrame, key: str, tokens: F.Column, n: int) -> tuple[DataFrame, DataFrame]:
+    """Links within classes of equal sets, and ``id, grams, size`` of each class's smallest key."""
     grams = df.select(F.col(key).alias("id"), X.shingles(tokens, n).alias("grams")).where(F.size("grams") > 0)
-    return settle(grams.select("id", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"), F.size("grams").cast("long").alias("size")), "gram-sets")
+    hashed = grams.select("id", F.array_sort(F.transform("grams", lambda g: F.xxhash64(g))).alias("grams"))
+    sets = settle(hashed.select("id", "grams", F.size("grams").cast("long").alias("size"), *(F.xxhash64(F.lit(k), "grams").alias(f"s{k}") for k in (1, 2))), "gram-sets")
+    sig = ["s1", "s2"]
+    low = settle(sets.groupBy(*sig).agg(F.min("id").alias("a"), F.count("*").alias("n")), "classes")
+    met = spread_join(sets.select("id", "size", *sig), low.select(*sig, "a"), sig, low, F.col("id"))
+    star = met.where("a <> id").select("a", F.col("id").alias("b"), F.col("size").alias("shared"), F.col("size").alias("size_a"), F.col("size").alias("size_b"))
+    return star, sets.join(low.select(F.col("a").alias("id")), "id", "left_semi").select("id", "grams", "size")
 
 
 def _set_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    grams = sets.select("id", "size", F.explode("grams").alias("g"))
-    frequency = grams.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = grams.join(frequency, "g", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "g"))).alias("o"))
-    keep = F.col("size") - F.ceil(F.col("size") * percent / 100.0) + 1
-    prefix = ranked.select("id", "size", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("x")).where("x.f > 1").select("id", "size", F.col("x.g").alias("g"))
+    grams = settle(sets.select("id", "size", F.explode("grams").alias("g")), "grams")
+    often = settle(grams.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    ordered = spread_join(grams, often.select("g", F.col("n").alias("f")), ["g"], often, F.col("id")).groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
+    # grams of one set alone come first and meet nothing: they only shorten the rest of the prefix
+    keep = F.col("size") - F.ceil(F.col("size") * percent / 100.0) + 1 - (F.col("size") - F.size("o"))
+    prefix = settle(ordered.where(keep > 0).select("id", "size", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("x")).select("id", "size", F.col("x.g").alias("g")), "prefixes")
     a, b = (prefix.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), "g") for s in "ab")
     close = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (F.col("a") < F.col("b"))
     pairs = a.join(b, "g").where(close).select("a", "b", "size_a", "size_b").distinct()

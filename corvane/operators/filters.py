@@ -72,6 +72,14 @@ def instruction_rules(end: str, prompt_tokens: Column, answer_tokens: Column, mo
     return [("category_or_empty", filled), ("special", clean), ("length", short)]
 
 
+def with_duplicates(df: DataFrame, reason: Column, key: str, order: str) -> DataFrame:
+    """``df`` with ``reason``, the first failing rule; a row that passes them all but repeats an earlier such row's key is a ``duplicate``."""
+    told = df.withColumn("reason", reason)
+    first = told.where("reason is null").groupBy(key).agg(F.min(order).alias("__first"))
+    again = F.col("reason").isNull() & (F.col(order) != F.col("__first"))
+    return told.join(first, key, "left").withColumn("reason", F.when(again, "duplicate").otherwise(F.col("reason"))).drop("__first")
+
+
 def without(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't excluded."""
     return df.join(excluded.select(key).distinct(), key, "left_anti")

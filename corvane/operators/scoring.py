@@ -48,6 +48,19 @@ def with_total(df: DataFrame, category: str) -> DataFrame:
     return out.select(F.when(F.col("g") == 1, "total").otherwise(F.col(category)).alias(category), "examples", "exact")
 
 
+def cube(df: DataFrame, *dimensions: str) -> DataFrame:
+    """Examples and exact answers by every subset of the dimensions; ``all`` only where a dimension is summed over, null stays null."""
+    out = df.cube(*dimensions).agg(F.count("*").alias("examples"), F.sum(F.col("exact_match").cast("long")).alias("exact"), *(F.grouping(c).alias(f"__{c}") for c in dimensions))
+    return out.select(*(F.when(F.col(f"__{c}") == 1, "all").otherwise(F.col(c)).alias(c) for c in dimensions), "examples", "exact")
+
+
+def zipped(details: DataFrame, raw: DataFrame, ordinal: str, key: str) -> DataFrame:
+    """Both tables side by side by ``ordinal``; raises where one has no partner or their ``key`` differs."""
+    both = details.join(raw.withColumnRenamed(key, "__key"), ordinal, "full_outer")
+    bad = F.when(~F.col(key).eqNullSafe(F.col("__key")), F.raise_error(F.concat(F.lit("different rows at "), F.col(ordinal).cast("string"))).cast("boolean"))
+    return both.withColumn("__key", F.coalesce(bad, F.lit(True))).where("__key").drop("__key")
+
+
 def paired(control: DataFrame, treated: DataFrame, key: str) -> DataFrame:
     """Both results of each key; a key that one side lacks is an error."""
     both = control.select(F.col(key), F.col("exact_match").alias("before")).join(treated.select(F.col(key), F.col("exact_match").alias("after")), key, "full_outer")

@@ -22,13 +22,14 @@ def visible(documents: DataFrame, source: Column | None = None, n_tokens: Column
 
 def single_stream(documents: DataFrame, budgets: dict[str, int]) -> DataFrame:
     """The index of one stream's corpus: first-wins dedup, quota fill per split, running offsets."""
-    fresh = dedup.first_per_key(visible(documents), "fingerprint", "seq")
+    # the texts are read and normalised once; what follows works on narrow rows
+    fresh = dedup.first_per_key(settle(visible(documents), "visible"), "fingerprint", "seq")
     return quota.offsets(quota.fill(fresh, budgets), ["seq"])
 
 
 def by_source(documents: DataFrame, source: Column, names: list[str], budgets: dict[str, int]) -> DataFrame:
     """The index of several ordered sources, each with its own quotas."""
-    return quota.offsets(quota.fill_sources(visible(documents, source), names, budgets), ["source", "seq"])
+    return quota.offsets(quota.fill_sources(settle(visible(documents, source), "visible"), names, budgets), ["source", "seq"])
 
 
 def source_counters(documents: DataFrame, source: Column, names: list[str], budgets: dict[str, int]) -> DataFrame:
@@ -38,7 +39,7 @@ def source_counters(documents: DataFrame, source: Column, names: list[str], budg
     A source is visited up to the document that fills its last quota. Duplicates are visited eligible documents whose
     fingerprint came before, in this source or in the visited part of an earlier one.
     """
-    index = quota.fill_sources(visible(documents, source), names, budgets)
+    index = quota.fill_sources(settle(visible(documents, source), "visible"), names, budgets)
     count = lambda c, n=F.lit(1): F.sum(F.when(c, n).otherwise(0)).cast("long")
     part = lambda s: F.col("split") == s
     written = settle(

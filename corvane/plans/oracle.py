@@ -138,11 +138,12 @@ def sql() -> dict[str, str]:
         "hash_split": f"WITH f AS (SELECT doc_id, {fp('text')} AS k FROM documents) SELECT doc_id, {bucket('k')} AS bucket, {split('k')} AS split FROM f",
         "host_split": f"WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages) SELECT page_id, host, {split('lower(host)', 9000, 500)} AS split FROM h",
         "exact_dedup": f"SELECT min(doc_id) AS doc_id, {fp('text')} AS fingerprint FROM documents GROUP BY 2",
-        "composite_dedup": f"WITH {TURNS}, k AS (SELECT source_id, sha256({fold('instruction')} || '\n' || {fold('context')} || '\n' || {fold('response')}) AS fingerprint FROM t) SELECT min(source_id) AS source_id, fingerprint FROM k GROUP BY fingerprint",
+        "composite_dedup": f"WITH {TURNS}, k AS (SELECT source_id, sha256(to_json([{fold('instruction')}, {fold('context')}, {fold('response')}])::VARCHAR) AS fingerprint FROM t) SELECT min(source_id) AS source_id, fingerprint FROM k GROUP BY fingerprint",
         "prior_exclusion": f"WITH f AS (SELECT doc_id, lang, {fp('text')} AS fingerprint FROM documents) SELECT min(doc_id) AS doc_id, fingerprint FROM f WHERE fingerprint NOT IN (SELECT fingerprint FROM f WHERE lang = 'fr') GROUP BY fingerprint",
         "split_leakage": f"WITH f AS (SELECT {fp('text')} AS fingerprint, CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'val' END AS split FROM documents) SELECT fingerprint, min(split) AS first_split, max(split) AS last_split FROM f GROUP BY fingerprint HAVING min(split) <> max(split)",
         "benchmark_overlap": f"WITH w AS (SELECT doc_id, {words('lower(text)')} AS w FROM documents), g AS (SELECT DISTINCT doc_id, unnest({grams('w', 8)}) AS g FROM w), h AS (SELECT {words('lower(text)')} AS w FROM benchmark), b AS (SELECT DISTINCT unnest({grams('w', 8)}) AS g FROM h) SELECT doc_id, count(*) AS shared FROM g SEMI JOIN b ON g.g = b.g GROUP BY doc_id",
-        "near_dup_pairs": f"WITH {GRAMSETS} SELECT a, b, shared, size_a, size_b FROM p",
+        "near_dup_pairs": f"""WITH {GRAMSETS}, q AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, '|' ORDER BY g)) AS sig FROM g GROUP BY doc_id), c AS (SELECT *, min(doc_id) OVER (PARTITION BY sig) AS first FROM q)
+SELECT a, b, shared, size_a, size_b FROM p WHERE a IN (SELECT first FROM c) AND b IN (SELECT first FROM c) UNION ALL SELECT first, doc_id, n, n, n FROM c WHERE first <> doc_id""",
         "near_dup_groups": f"WITH RECURSIVE {GRAMSETS}, {reachable('SELECT a, b FROM p UNION SELECT b, a FROM p', 'SELECT doc_id AS id FROM documents')} SELECT id AS doc_id, root FROM m",
         "group_key_split": f"WITH k AS (SELECT source AS root, sha256(string_agg({fp('text')}, '\n' ORDER BY {fp('text')})) AS group_key FROM documents GROUP BY source) SELECT root, group_key, {split('group_key', 8000, 1000)} AS split FROM k",
         "instruction_groups": f"""WITH RECURSIVE {TURNS}, n AS (SELECT source_id, {fold('instruction')} AS i, {fold('context')} AS c FROM t), w AS (SELECT source_id AS doc_id, {words('i')} AS w FROM n),
@@ -187,7 +188,7 @@ SELECT source_id, CASE WHEN len(p) = 0 OR len(r) = 0 THEN (len(p) = 0 AND len(r)
         "category_histogram": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
         "category_scores": f"WITH {OUTCOMES} SELECT category, count(*) AS examples, count(*) FILTER (exact_match) AS exact, round(avg(exact_match::INT), 9) AS rate, round(avg(stopped::INT), 9) AS stop_rate FROM o GROUP BY category",
         "category_total_rollup": f"WITH {OUTCOMES} SELECT coalesce(category, 'total') AS category, count(*) AS examples, count(*) FILTER (exact_match) AS exact FROM o GROUP BY ROLLUP (category)",
-        "score_cube": f"WITH {OUTCOMES}, p AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS part FROM o) SELECT coalesce(category, 'all') AS category, coalesce(part, 'all') AS part, count(*) AS examples, count(*) FILTER (exact_match) AS exact FROM p GROUP BY CUBE (category, part)",
+        "score_cube": f"WITH {OUTCOMES}, p AS (SELECT category, exact_match, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS part, 'final' AS phase FROM o UNION ALL SELECT category, stopped, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END, 'initial' FROM o) SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, CASE WHEN grouping(part) = 1 THEN 'all' ELSE part END AS part, CASE WHEN grouping(phase) = 1 THEN 'all' ELSE phase END AS phase, count(*) AS examples, count(*) FILTER (exact_match) AS exact FROM p GROUP BY CUBE (category, part, phase)",
         "paired_vs_control": f"WITH {OUTCOMES} SELECT doc_id, CASE WHEN stopped THEN 'gained' ELSE 'lost' END AS change FROM o WHERE exact_match <> stopped",
         "joint_context": f"WITH {OUTCOMES} SELECT doc_id // 2 AS context, count(*) AS queries, bool_and(exact_match) AS all_right, count(*) = 2 AS sound FROM o GROUP BY 1",
         "constant_answer": f"""WITH {OUTCOMES}, c AS (SELECT category, exact_match::VARCHAR AS answer, count(*) AS n FROM o WHERE doc_id % 3 > 0 GROUP BY ALL), t AS (SELECT category, answer AS constant FROM c QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, answer DESC) = 1)
@@ -210,7 +211,7 @@ SELECT x.block, round(x.loss, 6) AS before, round(y.loss, 6) AS after, round(y.l
         "probe_faults": f"WITH q AS ({probe(probes.TRAIN_OFFSETS, 'train')}) SELECT 'pair' AS fault, context AS item FROM q WHERE id <> 'train-1-0-1' GROUP BY context HAVING count(*) <> 2",
         "answer_distribution": f"""WITH a AS ({probe(probes.TRAIN_OFFSETS, 'train')}), b AS (SELECT * FROM ({probe(probes.DEV_OFFSETS, 'dev')}) WHERE id <> 'dev-2-3-1'), x AS (SELECT category, response, count(*) AS n FROM a GROUP BY ALL), y AS (SELECT category, response, count(*) AS n FROM b GROUP BY ALL)
 SELECT coalesce(x.category, y.category) AS category, coalesce(x.response, y.response) AS response FROM x FULL JOIN y ON x.category = y.category AND x.response = y.response WHERE (x.n * (SELECT count(*) FROM b)) IS DISTINCT FROM (y.n * (SELECT count(*) FROM a))""",
-        "prompt_overlap": f"WITH {TURNS}, k AS (SELECT source_id, {fold('instruction')} AS k FROM t) SELECT source_id FROM k WHERE source_id % 2 = 0 AND k IN (SELECT k FROM k WHERE source_id % 2 = 1)",
+        "prompt_overlap": f"WITH {TURNS}, k AS (SELECT source_id, {fold('instruction')} AS k FROM t) SELECT source_id FROM k WHERE source_id % 2 = 0 AND k IN (SELECT k FROM k WHERE source_id % 2 = 1 UNION ALL SELECT k FROM k WHERE source_id % 14 = 0)",
         "rms_norm": f"WITH {emb}, y AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x) + 1e-6::DOUBLE) AS s FROM e) SELECT vec_id, len(x)::BIGINT AS dims, round(x[1] / s, 6) AS first, round(list_sum(list_transform(x, lambda v: abs(v / s))), 6) AS absolute FROM y",
         "rope_rotate": f"WITH {emb}, a AS (SELECT vec_id, x, (vec_id % 64)::DOUBLE AS p FROM e) SELECT vec_id, round(x[1] * cos(p) - x[2] * sin(p), 6) AS y0, round(x[1] * sin(p) + x[2] * cos(p), 6) AS y1, round(x[3] * cos(p * pow(10000.0, -2.0 / len(x))) - x[4] * sin(p * pow(10000.0, -2.0 / len(x))), 6) AS y2 FROM a",
         "swiglu": f"WITH {emb} SELECT vec_id, round(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] / (1 + exp(-x[i])) * x[len(x) + 1 - i])), 6) AS gated FROM e",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvane.functions import text as X, tokens as K, vectors as V
 from corvane.operators import checks, dedup, filters, probes, quota, runs, sampling, scoring, splits
 from corvane.plans import corpus, instructions
-from corvane.sources.readers import table
+from corvane.sources.readers import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +24,7 @@ def query(f: Query) -> Query:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -104,14 +104,15 @@ def host_split(spark, d):
 
 @query
 def exact_dedup(spark, d):
-    rows = docs(spark, d).select("doc_id", X.fingerprint(F.col("text")).alias("fingerprint"))
-    return dedup.first_per_key(rows, "fingerprint", "doc_id").select("doc_id", "fingerprint")
+    # of each fingerprint the first document is all that is asked for: one aggregate, no join back
+    return docs(spark, d).groupBy(X.fingerprint(F.col("text")).alias("fingerprint")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
 
 
 @query
 def composite_dedup(spark, d):
-    rows = instructions.rows(table(spark, d, "conversations")).select("source_id", F.concat_ws("\n", *(X.prompt_normal(F.col(c)) for c in ("instruction", "context", "response"))).alias("k"))
-    return dedup.first_per_key(rows, "k", "source_id").select("source_id", X.digest(F.col("k")).alias("fingerprint"))
+    key = dedup.canonical_key(*(X.prompt_normal(F.col(c)) for c in ("instruction", "context", "response")))
+    rows = instructions.rows(table(spark, d, "conversations")).select("source_id", key.alias("fingerprint"))
+    return dedup.first_per_key(rows, "fingerprint", "source_id")
 
 
 @query
@@ -348,8 +349,8 @@ def category_total_rollup(spark, d):
 @query
 def score_cube(spark, d):
     o = outcomes(spark, d).withColumn("part", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
-    c = o.cube("category", "part").agg(F.count("*").alias("examples"), F.sum(F.col("exact_match").cast("long")).alias("exact"))
-    return c.select(F.coalesce("category", F.lit("all")).alias("category"), F.coalesce("part", F.lit("all")).alias("part"), "examples", "exact")
+    phases = o.withColumn("phase", F.lit("final")).unionByName(o.withColumn("exact_match", F.col("stopped")).withColumn("phase", F.lit("initial")))
+    return scoring.cube(phases, "category", "part", "phase")
 
 
 @query
@@ -477,7 +478,9 @@ def answer_distribution(spark, d):
 @query
 def prompt_overlap(spark, d):
     a = answers(spark, d).select(X.digest(X.prompt_normal(F.col("instruction"))).alias("k"), "source_id")
-    return a.where("source_id % 2 = 0").join(a.where("source_id % 2 = 1").select("k").distinct(), "k", "left_semi").select("source_id")
+    # the training prompts: the odd rows, and a seventh of the even ones, which are found
+    train = a.where("source_id % 2 = 1 or source_id % 14 = 0").select("k").distinct()
+    return a.where("source_id % 2 = 0").join(train, "k", "left_semi").select("source_id")
 
 
 # vectors

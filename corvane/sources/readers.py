@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores where its files give fewer splits than there are cores; as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _numbered(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """``file, line_no, value``: the lines of all matching files, decompressed, numbered from 1.
 
