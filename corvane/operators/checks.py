@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.operators.quota import gaps
 from corvane.operators.splits import leaks
@@ -75,11 +75,32 @@ def coverage_faults(scored: DataFrame, index: DataFrame) -> DataFrame:
     return have.join(scored, "split", "left").where(~F.col("scored_tokens").eqNullSafe(F.col("expected")))
 
 
+def alias_faults(spark: SparkSession, totals: dict[str, dict]) -> DataFrame:
+    """``fault, item``: splits whose content is another split's under a second name."""
+    rows = spark.createDataFrame([(s, t["sha256"]) for s, t in totals.items()], "split string, sha256 string")
+    return rows.groupBy("sha256").agg(F.count("*").alias("n"), F.min("split").alias("item")).where("n > 1").select(F.lit("alias").alias("fault"), "item")
+
+
 def distinct_paths(train: str, val: str) -> None:
-    if train == val:
+    """Raises if both paths name one file, however they are spelled."""
+    spark = SparkSession.active()
+
+    def status(path: str) -> str:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).resolvePath(where).toString()
+
+    if train == val or status(train) == status(val):
         raise ValueError("train and dev are the same file")
 
 
+def audit_report(report: DataFrame, recomputed: DataFrame, key: str) -> DataFrame:
+    """``key, column``: figures of a published report that recomputing doesn't give."""
+    names = [c for c in report.columns if c != key]
+    both = report.join(recomputed.select(key, *(F.col(c).alias(f"__{c}") for c in names)), key, "full_outer")
+    wrong = F.filter(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), c) for c in names)), lambda x: x.isNotNull())
+    return both.select(key, F.explode(wrong).alias("column"))
+
+
 def table_mark(df: DataFrame) -> DataFrame:
     """A row that changes if a table does: its count and the sum of its rows' hashes."""
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("mark"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvane.functions import text as X
-from corvane.operators import dedup, filters, quota, splits
+from corvane.functions import text as X, tokens as K
+from corvane.operators import checks, dedup, filters, quota, splits
+from corvane.sources.readers import finished, index_digest
 from corvane.sources.sinks import Corpus
-from corvane.sources.storage import settle
+from corvane.sources.storage import forget, settle
 
 
 def visible(documents: DataFrame, source: Column | None = None, n_tokens: Column | None = None) -> DataFrame:
@@ -58,12 +59,60 @@ def source_counters(documents: DataFrame, source: Column, names: list[str], budg
     return out.select("source", "visited", "filtered", (F.col("visited") - F.col("filtered") - F.col("fresh")).alias("duplicates"), "truncated", *(f"{s}_{k}" for k in ("documents", "tokens") for s in budgets))
 
 
-def prepare(documents: DataFrame, folder: str, budgets: dict[str, int], tokenizer: str = "blank-separated") -> DataFrame:
-    """Write a corpus folder; the manifest ends as complete, or as incomplete if a budget can't be met."""
-    with Corpus(documents.sparkSession, folder, tokenizer=tokenizer, budgets=budgets) as out:
-        index = quota.require(single_stream(documents, budgets), budgets)
+def prepare(documents: DataFrame, folder: str, budgets: dict[str, int], encode: Column | None = None, end: int = 0, tokenizer: str = "blank-separated", vocabulary: int = 1 << 20) -> DataFrame:
+    """Write a corpus folder: document index, token arrays, raw parts, and a manifest with totals, digests and origin.
+
+    ``encode`` gives the token ids of a text (the length of each blank-separated piece if not given); each document
+    ends with ``end``, a cut one too. The manifest ends as complete, or as incomplete if anything fails.
+    """
+    spark = documents.sparkSession
+    ids = F.transform(X.pieces(F.col("text")), lambda w: F.char_length(w)) if encode is None else encode
+    with Corpus(spark, folder, tokenizer=tokenizer, vocabulary=vocabulary, budgets=budgets, end=end, documents=documents.inputFiles()[:100]) as out:
+        rows = settle(visible(documents, n_tokens=F.size(ids)), "visible")
+        index = settle(quota.require(quota.offsets(quota.fill(dedup.first_per_key(rows, "fingerprint", "seq"), budgets), ["seq"]), budgets), "index")
         out.write_index(index)
-    return documents.sparkSession.read.parquet(f"{folder}/documents")
+        # only documents of the index are encoded; the narrow side is joined by their ids
+        texts = documents.select(F.col("doc_id").alias("seq"), "text").join(index.select("seq", "split", "start_token", "tokens"), "seq")
+        out.write_tokens(texts.withColumn("ids", K.in_vocabulary(K.with_end(ids, end, F.col("tokens").cast("int")), vocabulary)))
+        forget(rows, index)
+        out.facts |= {"totals": out.totals(), "index": index_digest(spark.read.parquet(f"{folder}/documents"))}
+    return spark.read.parquet(f"{folder}/documents")
+
+
+def prepare_subset(parent: str, folder: str, spark: SparkSession, budget: int, tokenizer: str = "blank-separated", part: str = "train") -> DataFrame:
+    """Write a corpus whose ``part`` is a prefix of the parent's; the other splits are copied, and both are verified.
+
+    The cut document ends with the end token; each row keeps its place and length in the parent.
+    """
+    facts = finished(spark, parent, tokenizer)
+    index, tokens = spark.read.parquet(f"{parent}/documents"), spark.read.parquet(f"{parent}/tokens")
+    totals = spark.createDataFrame([(s, t["tokens"]) for s, t in facts["totals"].items()], "split string, tokens long")
+    no(checks.index_faults(index, totals), "parent")
+    if not 1 <= budget <= facts["budgets"][part]:
+        raise quota.BudgetError(f"{budget} of {facts['budgets'][part]} tokens")
+    budgets = facts["budgets"] | {part: budget}
+    with Corpus(spark, folder, tokenizer=tokenizer, vocabulary=facts["vocabulary"], budgets=budgets, end=facts["end"], parent=parent, parent_index=facts["index"]) as out:
+        small = settle(quota.require(quota.subset(index, budget, part), budgets), "subset")
+        out.write_index(small)
+        rows = tokens.join(small.select("split", "start_token", "tokens"), ["split", "start_token"])
+        ids = F.when(F.size("ids") > F.col("tokens"), F.concat(F.slice("ids", F.lit(1), (F.col("tokens") - 1).cast("int")), F.array(F.lit(facts["end"])))).otherwise(F.col("ids"))
+        out.write_tokens(rows.withColumn("ids", ids))
+        child = spark.read.parquet(f"{folder}/documents")
+        new = spark.createDataFrame(list(budgets.items()), "split string, tokens long")
+        no(checks.index_faults(child, new), "subset")
+        no(checks.reserved_faults(index, child.select(*index.columns), part), "reserved splits")
+        no(checks.reserved_faults(tokens, spark.read.parquet(f"{folder}/tokens").select(*tokens.columns), part), "reserved tokens")
+        no(checks.end_faults(spark.read.parquet(f"{folder}/tokens"), facts["end"]), "end tokens")
+        forget(small)
+        out.facts |= {"totals": out.totals(), "index": index_digest(child)}
+    return child
+
+
+def no(faults: DataFrame, where: str) -> None:
+    """Raises if there are any faults."""
+    found = faults.take(1)
+    if found:
+        raise ValueError(f"{where}: {found[0].asDict()}")
 
 
 def prepare_code(files: DataFrame, prior: DataFrame, budgets: dict[str, int]) -> DataFrame:

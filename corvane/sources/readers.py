@@ -25,35 +25,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """``file, line_no, value``: the lines of all matching files, decompressed, numbered from 1.
+    """``path, file, line_no, value``: the lines of all matching files, decompressed, numbered from 1.
 
-    Lines are split inside the file's own task; a compressed file can't be split anyway.
+    Files are read as streams, large plain ones in several splits; a first pass counts the lines of each split, which
+    gives the number of its first line. Bytes that aren't UTF-8 are replaced.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path", "content")
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-        import io
-
-        import zstandard
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                stream = io.BytesIO(content)
-                if path.endswith(".zst"):
-                    stream = zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
-                elif path.endswith(".gz"):
-                    stream = gzip.GzipFile(fileobj=stream)
-                out: list[tuple[str, int, str]] = []
-                for i, line in enumerate(io.TextIOWrapper(stream, "utf-8", errors="replace", newline="\n"), 1):
-                    out.append((path.rsplit("/", 1)[-1], i, line.rstrip("\r\n")))
-                    if len(out) == 5_000:
-                        yield pd.DataFrame(out, columns=["file", "line_no", "value"])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=["file", "line_no", "value"])
-
-    return raw.mapInPandas(lines, "file string, line_no long, value string")
+    found = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
+    own = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+    starts = found.select(*own).groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = starts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    rows = found.select(*own, F.make_valid_utf8(F.regexp_replace("value", "\r$", "")).alias("value"))
+    line = (F.col("id") - F.col("first") + F.col("before") + 1).alias("line_no")
+    return rows.join(starts, ["path", "block"]).select("path", F.element_at(F.split("path", "/"), -1).alias("file"), line, "value")
 
 
 def tolerant(value: Column) -> Column:
@@ -66,8 +50,8 @@ def json_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl.zst", sour
     """``source, seq, locator, text``: every line a document, bad ones with a null text; files in lexical order."""
     rows = _numbered(spark, folder, glob)
     locator = F.concat_ws(":", "file", F.col("line_no").cast("string"))
-    order = rows.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).alias("file_no"))  # one row per file
-    return rows.join(F.broadcast(order), "file").select(F.lit(source).alias("source"), (F.col("file_no") * F.lit(1 << 40) + F.col("line_no")).cast("long").alias("seq"), locator.alias("locator"), tolerant(F.col("value")).alias("text"))
+    order = rows.select("path").distinct().select("path", F.row_number().over(Window.orderBy("path")).alias("file_no"))  # one row per file
+    return rows.join(order, "path").select(F.lit(source).alias("source"), (F.col("file_no") * F.lit(1 << 40) + F.col("line_no")).cast("long").alias("seq"), locator.alias("locator"), tolerant(F.col("value")).alias("text"))
 
 
 def dropping_json_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl*") -> DataFrame:
@@ -132,14 +116,39 @@ def event_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("r._bad is null and value <> ''").select("line_no", "r.*").drop("_bad")
 
 
-def prior_fingerprints(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
-    """Distinct fingerprints of a finished corpus; its manifest must be complete and of the same tokenizer."""
+def index_digest(index: DataFrame) -> str:
+    """A digest of a document index that any change of a row changes: the sum of its rows' digests, as 15-digit numbers, and their count."""
+    row = F.conv(F.substring(F.sha2(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(index.columns))), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    got = index.agg(F.sum(row).cast("string"), F.count("*")).first()
+    return f"{got[0]}:{got[1]}"
+
+
+def finished(spark: SparkSession, folder: str, tokenizer: str) -> dict:
+    """The manifest of a corpus that is complete, of this version and tokenizer, and whose index is the one it was written with."""
     manifest = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
     if manifest.get("status") != "complete" or manifest.get("version") != 1 or manifest.get("tokenizer") != tokenizer:
-        raise ValueError("the prior corpus can't be used")
+        raise ValueError("the corpus can't be used")
+    if manifest.get("index") != index_digest(spark.read.parquet(f"{folder}/documents")):
+        raise ValueError("the corpus's index isn't the one of its manifest")
+    return manifest
+
+
+def prior_fingerprints(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
+    """Distinct fingerprints of a finished corpus; its manifest must be complete and of the same tokenizer, its index unchanged."""
+    finished(spark, folder, tokenizer)
     return spark.read.parquet(f"{folder}/documents").select("fingerprint").distinct()
 
 
+def pinned(path: str, sha256: str) -> str:
+    """The path of a tokenizer file whose content has this digest; raises if it hasn't."""
+    import hashlib
+
+    with open(path, "rb") as f:
+        if hashlib.sha256(f.read()).hexdigest() != sha256:
+            raise ValueError(f"{path} isn't the pinned file")
+    return path
+
+
 def encoder(path: str):
     """A pandas UDF that encodes texts with a tokenizer file; no truncation, no padding, no special tokens."""
 

@@ -189,3 +189,63 @@ def test_source_counters_equal_the_reading_loop(spark, seed):
     got = {r.source: r.asDict() for r in corpus.source_counters(df, F.col("source"), ["b", "a"], budgets).collect()}
     assert got == {s: {"source": s, **own} for s, own in expected.items()}
     assert all(own["duplicates"] and own["truncated"] and own["filtered"] for own in expected.values())
+
+
+def test_a_subset_keeps_its_parent_and_finds_changes(spark, tmp_path):
+    parent, child = str(tmp_path / "parent"), str(tmp_path / "child")
+    texts = [" ".join(f"w{(i * 7 + k) % 53}" + "abcdefgh"[k % 8] * (k % 5 + 1) for k in range(40)) + f" no {'x' * (i % 9)} {i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    corpus.prepare(docs, parent, {"train": 5000, "val": 300, "holdout": 200})
+    small = corpus.prepare_subset(parent, child, spark, 1234)
+    sums = {r.split: r.n for r in small.groupBy("split").agg(F.sum("tokens").alias("n")).collect()}
+    assert sums == {"train": 1234, "val": 300, "holdout": 200}
+    for folder, least in ((parent, 5000), (child, 1234)):
+        tokens = spark.read.parquet(f"{folder}/tokens").where("split = 'train'").orderBy("start_token").collect()
+        assert sum(len(r.ids) for r in tokens) == least and all(r.ids[-1] == 0 and r.ids.count(0) == 1 for r in tokens)
+    row = small.where("split = 'train'").orderBy(F.desc("start_token")).first()
+    assert row.truncated and row.parent_tokens > row.tokens and row.parent_start_token == row.start_token
+    import json
+
+    facts = json.loads(open(f"{child}/manifest.json").read())
+    assert facts["status"] == "complete" and facts["totals"]["val"] == json.loads(open(f"{parent}/manifest.json").read())["totals"]["val"]
+    with pytest.raises(FileExistsError):
+        corpus.prepare_subset(parent, child, spark, 1234)
+    with pytest.raises(quota.BudgetError):
+        corpus.prepare_subset(parent, str(tmp_path / "more"), spark, 5001)
+    from corvane.plans import holdout
+
+    assert holdout.corpus_holdout(spark, child, "blank-separated").collect() == []
+    # one row of the index is written twice: the manifest no longer fits
+    spark.read.parquet(f"{parent}/documents").limit(1).write.mode("append").partitionBy("split").parquet(f"{parent}/documents")
+    with pytest.raises(ValueError):
+        corpus.prepare_subset(parent, str(tmp_path / "other"), spark, 1000)
+
+
+def test_a_corpus_that_fails_says_so(spark, tmp_path):
+    import json
+
+    docs = spark.createDataFrame([(1, "some words " * 30, "s")], "doc_id long, text string, source string")
+    with pytest.raises(quota.BudgetError):
+        corpus.prepare(docs, str(tmp_path / "c"), {"train": 10**6})
+    assert json.loads((tmp_path / "c" / "manifest.json").read_text())["status"] == "incomplete"
+
+
+def test_raw_parts_are_the_tokens_in_order(spark):
+    import numpy as np
+
+    rows, at = [], 0
+    for n in (3, 1, 17, 5, 0, 9, 30):
+        rows.append(("train", at, list(range(at, at + n))))
+        at += n
+    parts = sinks.raw_parts(spark.createDataFrame(rows, "split string, start_token long, ids array<int>"), 8).orderBy("part").collect()
+    assert [r.part for r in parts] == list(range(9)) and [r.tokens for r in parts] == [8] * 8 + [1]
+    assert np.frombuffer(b"".join(bytes(r.content) for r in parts), "<u4").tolist() == list(range(at))
+
+
+def test_zipped_tables_must_agree(spark):
+    a = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "n long, id string, v int")
+    b = spark.createDataFrame([(1, "x", 7), (2, "y", 8)], "n long, id string, w int")
+    assert sorted(map(tuple, scoring.zipped(a, b, "n", "id").select("n", "id", "v", "w").collect())) == [(1, "x", 5, 7), (2, "y", 6, 8)]
+    for wrong in (b.withColumn("id", F.lit("x")), b.where("n = 1")):
+        with pytest.raises(Exception):
+            scoring.zipped(a, wrong, "n", "id").collect()

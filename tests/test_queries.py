@@ -5,13 +5,14 @@ import os
 import duckdb
 import pytest
 
-from corvane.plans import oracle
-from corvane.plans.queries import QUERIES
+from corvane.plans import oracle, oracle_files
+from corvane.plans.files import COUNTS, FILES
+from corvane.plans.queries import QUERIES as CORE
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
-SQL = oracle.sql()
+SQL, QUERIES = oracle.sql() | oracle_files.sql(COUNTS), CORE | FILES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 

@@ -50,9 +50,27 @@ def test_event_log_tolerates_only_a_torn_end(spark, tmp_path):
         readers.event_log(spark, str(tmp_path / "b"), "event string, step long")
 
 
+def test_lines_are_numbered_over_all_splits_of_a_file(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"text": f"line {i}"}) + "\n" for i in range(5000)))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.jsonl").write_bytes(b'{"text": "x\xff"}\r\n{"text": "y"}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = readers.json_lines(spark, str(tmp_path), "*.jsonl").orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.text for r in got] == [f"line {i}" for i in range(5000)] + ["x\ufffd", "y"]
+    assert [int(r.locator.split(":")[1]) for r in got] == [*range(1, 5001), 1, 2]
+
+
 def test_prior_corpus_and_tokenizer(spark, tmp_path):
-    spark.createDataFrame([("f1",), ("f1",), ("f2",)], "fingerprint string").write.parquet(str(tmp_path / "documents"))
-    (tmp_path / "manifest.json").write_text(json.dumps({"status": "complete", "version": 1, "tokenizer": "t"}))
+    rows = spark.createDataFrame([("f1",), ("f1",), ("f2",)], "fingerprint string")
+    rows.write.parquet(str(tmp_path / "documents"))
+    (tmp_path / "manifest.json").write_text(json.dumps({"status": "complete", "version": 1, "tokenizer": "t", "index": "0:3"}))
+    with pytest.raises(ValueError):
+        readers.prior_fingerprints(spark, str(tmp_path), "t")
+    (tmp_path / "manifest.json").write_text(json.dumps({"status": "complete", "version": 1, "tokenizer": "t", "index": readers.index_digest(rows)}))
     assert readers.prior_fingerprints(spark, str(tmp_path), "t").count() == 2
     with pytest.raises(ValueError):
         readers.prior_fingerprints(spark, str(tmp_path), "other")
@@ -93,7 +111,7 @@ def test_attention_agrees_with_numpy():
     assert V.greedy(lambda ids: np.eye(5)[(ids[-1] + 1) % 5], [0], 2, 3, 10) == [0, 1, 2, 3]
 
 
-def test_pairs_and_losses_refuse_bad_input(spark):
+def test_pairs_and_losses_refuse_bad_input(spark, tmp_path):
     a = spark.createDataFrame([(1, True), (2, False)], "id long, exact_match boolean")
     b = spark.createDataFrame([(1, False), (2, True)], "id long, exact_match boolean")
     assert {(r.id, r.change) for r in scoring.gains(scoring.paired(a, b, "id"), "id").collect()} == {(1, "lost"), (2, "gained")}
@@ -106,6 +124,9 @@ def test_pairs_and_losses_refuse_bad_input(spark):
     assert not checks.control_faults(measured, measured.withColumn("loss", F.lit(1.1)), "k", 1e-6).isEmpty()
     with pytest.raises(ValueError):
         checks.distinct_paths("a", "a")
+    (tmp_path / "train").mkdir()
+    with pytest.raises(ValueError):
+        checks.distinct_paths(f"{tmp_path}/train", f"file://{tmp_path}//train/.")
 
 
 def test_instruction_checks_catch_mutations(spark):
