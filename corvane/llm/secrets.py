@@ -1,16 +1,17 @@
 """Secret scans: pattern candidates, and a random forest that drops the false ones.
 
-Candidates are long unbroken tokens and values assigned to a named setting. The forest sees a candidate's length,
-its character-class transitions and byte entropy, how much of it dictionary words cover, whether it stands in a path or address, and
-the words next to it. It is trained here, in numpy, from labelled findings: either a caller's, or the generated
+Candidates are long unbroken tokens, values assigned to a named setting, and passwords in addresses. The forest sees a
+candidate's length, its character-class transitions and byte entropy, how much of it dictionary words cover, whether it
+stands in a path or address, what kind of path its document has (column ``path`` if there is one, ``source`` otherwise),
+and the words next to it. It is trained here, in numpy, from labelled findings: either a caller's, or the generated
 ones of ``labelled_findings``, which hold real key shapes against digests, identifiers, paths, placeholders and prose.
 
 An assigned value is a candidate of its own: the token ``name=VALUE`` around it is split, so that the name counts as
 the words before the value. Training describes the spans that ``candidates`` gives, as a scan does.
 
 Edge cases: a null or empty text has no findings; other overlapping candidates are merged into the longest one; repeated
-rows are scanned one by one; columns other than ``doc_id`` and ``text`` are ignored by the scan; documents without
-findings have no row in ``scan`` and one row in ``scan_documents``; an empty table gives an empty result.
+rows are scanned one by one; a document without a path is judged by its text alone; other columns are ignored by the
+scan; documents without findings have no row in ``scan`` and one row in ``scan_documents``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,12 +37,16 @@ CONTEXT = 48
 TOKEN = re.compile(r"[A-Za-z0-9+/_=\-.~]{16,}")
 ASSIGNED = re.compile(r"""(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?["']?\s{0,3}[:=]\s{0,3}["']?([^\s"'<>,;]{6,})""")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]{0,30}PRIVATE KEY-----")
+ADDRESS = re.compile(r"://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,})@")
 #: The head of an assignment inside an assigned value (``auth: token=VALUE``), and the name in front of a token's value.
 NESTED = re.compile(r"(?i)[a-z_.\-]{0,32}?(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[:=](?=[^\s\"'<>,;]{6})")
 NAMED = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,63})=(?!=)")
 PREFIX = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|SG\.|npm_|pypi-|hf_)")
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "credential", "private", "key")
-BENIGN = ("sha", "md5", "commit", "checksum", "digest", "hash", "uuid", "revision", "version", "build", "etag", "integrity", "example", "placeholder", "sample", "id", "file", "path", "url", "http", "www", "see", "page")
+BENIGN = ("sha", "md5", "commit", "checksum", "digest", "hash", "uuid", "revision", "version", "build", "etag", "integrity", "example", "placeholder", "sample", "id", "file", "path", "url", "http", "www", "see", "page", "base64", "image", "data", "font", "thumbprint", "fingerprint", "signature")
+#: Parts of a path that tell settings from examples and generated files.
+SETTINGS = ("env", "config", "conf", "secret", "credential", "settings", "deploy", "terraform", "docker", "vault")
+SAMPLES = ("test", "example", "sample", "doc", "fixture", "mock", "lock", "min.js", "readme", "vendor")
 PLACEHOLDER = ("example", "your", "changeme", "placeholder", "xxxx", "dummy", "sample", "redacted", "insert", "test", "todo", "1234567890", "abcdef")
 #: A small dictionary by which coverage is measured; short stems, so that they match inside tokens.
 STEMS = frozenset(
@@ -50,10 +55,10 @@ STEMS = frozenset(
 
 
 def _token(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """The span of a token without trailing marks if it may be a key; otherwise nothing."""
+    """The span of a token without trailing marks if it's long enough for a key; otherwise nothing."""
     own = text[a:b]
     kept = own.rstrip(".-=") if not own.endswith("=") else own
-    return [(a, a + len(kept))] if len(kept) >= 16 and (any(c.isdigit() for c in kept) or PREFIX.match(kept)) else []
+    return [(a, a + len(kept))] if len(kept) >= 16 else []
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -65,6 +70,9 @@ def candidates(text: str) -> list[tuple[int, int]]:
         while inner := NESTED.match(text, a, b):
             a = inner.end()
         values.append((m.start(), a, b))
+    for m in ADDRESS.finditer(text):
+        values.append((m.start(1), *m.span(1)))
+    values.sort(key=lambda v: v[1])
     spans += [v[1:] for v in values]
     at = 0
     for m in TOKEN.finditer(text):
@@ -88,12 +96,12 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def as_scanned(findings: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+def as_scanned(findings: list[tuple]) -> list[tuple]:
     """Findings with the span of the candidate that a scan would judge in their place; the given one where none would be."""
     out = []
-    for text, a, b, y in findings:
+    for text, a, b, *rest in findings:
         shared = max(candidates(text), key=lambda s: min(b, s[1]) - max(a, s[0]), default=(b, b))
-        out.append((text, *(shared if min(b, shared[1]) > max(a, shared[0]) else (a, b)), y))
+        out.append((text, *(shared if min(b, shared[1]) > max(a, shared[0]) else (a, b)), *rest))
     return out
 
 
@@ -115,8 +123,9 @@ def covered(token: str) -> float:
     return n / max(1, len(low))
 
 
-def describe(text: str, a: int, b: int) -> list[float]:
-    """The forest's features of the candidate ``text[a:b]``."""
+def describe(text: str, a: int, b: int, path: str | None = None) -> list[float]:
+    """The forest's features of the candidate ``text[a:b]`` of a document at ``path``."""
+    path = (path or "").lower()
     own = text[a:b]
     kinds = [_kind(c) for c in own]
     shifts = Counter((x, y) for x, y in zip(kinds, kinds[1:], strict=False) if x != y)
@@ -126,6 +135,8 @@ def describe(text: str, a: int, b: int) -> list[float]:
     near = before[-28:]
     low = own.lower()
     hexes = all(c in "0123456789abcdef-" for c in low)
+    part = max(re.split(r"[/.\-_=]", own), key=len)
+    own_kinds = [_kind(c) for c in part]
     return [
         float(len(own)),
         sum(shifts.values()) / n,
@@ -142,7 +153,7 @@ def describe(text: str, a: int, b: int) -> list[float]:
         float(hexes),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", own))),
         float(bool(PREFIX.match(own)) or own.startswith("-----BEGIN")),
-        float("://" in text[max(0, a - 8) : b] or before.endswith("@") or after.startswith("@") or before.endswith("/")),
+        float("://" in text[max(0, a - 8) : b] or before.endswith(("@", "/")) or after.startswith(("@", "://"))),
         float(any(k in near for k in KEYWORDS)),
         float(near.rstrip(" \"'").endswith(("=", ":"))),
         float(before.endswith(('"', "'", "`")) and after.startswith(('"', "'", "`"))),
@@ -150,11 +161,23 @@ def describe(text: str, a: int, b: int) -> list[float]:
         float(any(p in low for p in PLACEHOLDER)),
         float(len(counts) / n),
         max((len(m.group(0)) for m in re.finditer(r"[A-Za-z]+", own)), default=0) / n,
+        float(before.endswith(":") and after.startswith("@")),
+        _alternation(low),
+        float(len(part)),
+        sum(x != y for x, y in zip(own_kinds, own_kinds[1:], strict=False)) / len(part) if part else 0.0,
+        float(any(k in path for k in SETTINGS)) - float(any(k in path for k in SAMPLES)),
     ]
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, int]]:
-    """``n`` generated findings (text, start, end, whether it's a secret), half of them false alarms."""
+def _alternation(low: str) -> float:
+    """The share of neighbouring letters of which one is a vowel and the other isn't: high in words, low in keys."""
+    pairs = [(x in "aeiouy", y in "aeiouy") for x, y in zip(low, low[1:], strict=False) if x.isalpha() and y.isalpha()]
+    return sum(x != y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+
+def labelled_findings(n: int = FINDINGS, seed: int = SEED, paths: bool = False) -> list[tuple]:
+    """``n`` generated findings (text, start, end, whether it's a secret, and with ``paths`` the document's path), half of
+    them false alarms."""
     rng = np.random.default_rng(seed)
     pick = lambda options: options[int(rng.integers(len(options)))]
     chars = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
@@ -170,17 +193,21 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         quote = pick(('"', "'", "", ""))
         join = pick((" = ", "=", ": ", ":", " := "))
         if real:
-            form = int(rng.integers(8))
+            form = int(rng.integers(11))
             value = (
                 "AKIA" + chars(upper + digits, 16), "ghp_" + chars(alnum, 36), "sk-" + chars(alnum, 40), chars(alnum + "+/", 40), chars(hexed, pick((32, 40, 64))),
                 chars(alnum + "!#%@_-", int(rng.integers(10, 24))), "eyJ" + chars(alnum, 60) + "." + chars(alnum + "_-", 80) + "." + chars(alnum + "_-", 43), uuid4(),
+                chars(lower + upper, int(rng.integers(20, 44))), chars(alnum + "!#%_-", int(rng.integers(8, 22))),
+                "/".join(pick(stems) for _ in range(int(rng.integers(2, 60)))) + "/" + chars(alnum, int(rng.integers(32, 400))),
             )[form]
-            named = form >= 3 or rng.random() < 0.6
-            lead = f"{pick(setting)}{join}{quote}" if named else pick(("key ", "use ", "", "login with ")) + quote
+            named = 3 <= form < 10 or form < 3 and rng.random() < 0.6
+            lead = f"{pick(setting)}{join}{quote}" if named else pick(("key ", "use ", "", "login with ", "see ", "open ")) + quote
             value = value.upper() if rng.random() < 0.05 and form in (4, 7) else value
             lead = lead.upper() if rng.random() < 0.15 else lead
+            if form == 9:
+                lead, quote = f"{pick(('postgres', 'mysql', 'https', 'amqp', 'redis'))}://{pick(stems)}:", f"@{pick(stems)}.{pick(('com', 'local', 'internal'))}/{pick(stems)}"
         else:
-            form = int(rng.integers(9))
+            form = int(rng.integers(17))
             value, lead = (
                 lambda: (chars(hexed, pick((32, 40, 64))), pick(("sha256:", "commit ", "md5 = ", "checksum: ", "digest=\"", "etag: \"", "revision ", "integrity "))),
                 lambda: (uuid4(), pick(("id: ", "uuid = ", "request ", "see ", ""))),
@@ -191,12 +218,24 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
                 lambda: (chars(lower, int(rng.integers(7, 14))) + "." + str(int(rng.integers(10, 99))), ""),
                 lambda: (chars(digits, int(rng.integers(16, 24))), pick(("order ", "phone ", "id ", ""))),
                 lambda: (pick(stems) + pick(stems), f"{pick(setting)}{join}{pick(('process.env.', 'os.environ.', '${', 'get_'))}"),
+                lambda: (chars(alnum + "+/", int(rng.integers(60, 300))), f"data:{pick(('image/png', 'image/jpeg', 'font/woff2'))};base64,"),
+                lambda: (chars(alnum + "+/", pick((64, 86))) + pick(("", "==")), pick(('integrity="sha384-', 'integrity="sha512-', "integrity: sha512-", 'integrity=sha256-', 'integrity="sha1-'))),
+                lambda: ("".join(chars("bcdfghjklmnpqrstvwxz", 1) + chars("aeiou", 1) for _ in range(int(rng.integers(8, 16)))), ""),
+                lambda: ("".join(pick(stems).title() for _ in range(int(rng.integers(3, 6)))), pick(("class ", "new ", "", "import "))),
+                lambda: ("-".join(pick(stems) if rng.random() < 0.5 else chars(lower, int(rng.integers(3, 9))) for _ in range(int(rng.integers(3, 6)))), ""),
+                lambda: (pick(stems) + ("-" * int(rng.integers(14, 40))), pick(("", "---"))),
+                lambda: ("_".join(pick(stems) for _ in range(int(rng.integers(2, 4)))).upper() + "=" + pick(stems) + pick(stems), pick(("", "export ", "set "))),
+                lambda: ("/".join(pick(stems) for _ in range(int(rng.integers(6, 130)))) + pick(("", "/", "/a1")), pick(("see ", "open ", "in ", "https://"))),
             )[form]()
             if form == 3 and rng.random() < 0.4:
                 value, lead = f"mail{int(rng.integers(10))}.example.com", chars(lower, 6) + "." + str(int(rng.integers(99))) + "@"
             quote = lead[-1] if lead.endswith(("'", '"')) else ""
         front = words(int(rng.integers(0, 9))) + pick((" ", "\n", "", " | "))
         out.append((front + lead + value + quote + " " + words(int(rng.integers(0, 8))), len(front + lead), len(front + lead + value), int(real)))
+        if paths:
+            # half have no telling path; settings hold more secrets, samples more false alarms
+            kind = SETTINGS if rng.random() < (0.85 if real else 0.15) else SAMPLES
+            out[-1] += (f"src/{pick(stems)}/{pick(kind)}" if rng.random() < 0.5 else pick(("", f"src/{pick(stems)}.py", f"{pick(stems)}.com")),)
     return as_scanned(out)
 
 
@@ -253,17 +292,17 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def train(findings: list[tuple[str, int, int, int]] | None = None) -> Forest:
-    """A forest from labelled findings: (text, start, end, label)."""
-    findings = labelled_findings() if findings is None else as_scanned(findings)
-    x = np.array([describe(t, a, b) for t, a, b, _ in findings])
-    return Forest(x, np.array([y for *_, y in findings], float))
+def train(findings: list[tuple] | None = None) -> Forest:
+    """A forest from labelled findings: (text, start, end, label), and the document's path if it's known."""
+    findings = labelled_findings(paths=True) if findings is None else as_scanned(findings)
+    x = np.array([describe(t, a, b, *path) for t, a, b, _, *path in findings])
+    return Forest(x, np.array([f[3] for f in findings], float))
 
 
-def judged(model: Forest, texts: list[str | None]) -> list[list[tuple[int, int, float]]]:
+def judged(model: Forest, texts: list[str | None], paths: list[str | None] | None = None) -> list[list[tuple[int, int, float]]]:
     """For each text its candidates (start, end, score)."""
     spans = [candidates(t) if t else [] for t in texts]
-    x = [describe(t, a, b) for t, own in zip(texts, spans, strict=True) for a, b in own]
+    x = [describe(t, a, b, p) for t, own, p in zip(texts, spans, paths or [None] * len(texts), strict=True) for a, b in own]
     scores = iter(model.score(np.array(x)).tolist() if x else [])
     return [[(a, b, next(scores)) for a, b in own] for own in spans]
 
@@ -282,14 +321,15 @@ def scan_documents(documents: DataFrame, model: Forest | None = None) -> DataFra
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = judged(shared.value, texts)
+            found = judged(shared.value, texts, batch.column("path").to_pylist())
             rows = [[{"start": a, "length": b - a, "score": s, "is_secret": s >= THRESHOLD, "value_sha256": hashlib.sha256(t[a:b].encode()).hexdigest()} for a, b, s in own] for t, own in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array([sum(f["is_secret"] for f in r) for r in rows], pa.int64()), pa.array(rows, _FINDING)],
                 ["doc_id", "n_candidates", "n_secrets", "findings"],
             )
 
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    path = next((C.quoted(c).cast("string") for c in ("path", "source") if c in documents.columns), F.lit(None).cast("string"))
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), path.alias("path"))
     return own.mapInArrow(C.tidy(run), f"doc_id long, n_candidates long, n_secrets long, findings {FINDING}")
 
 
@@ -302,6 +342,7 @@ def mask_secrets(documents: DataFrame, model: Forest | None = None, mask: str =
     C.small_batches(spark)
     shared = spark.sparkContext.broadcast(model or train())
     at = documents.columns.index("text")
+    where = next((documents.columns.index(c) for c in ("path", "source") if c in documents.columns), None)
 
     def clean(text: str | None, found: list[tuple[int, int, float]]) -> str | None:
         for a, b, s in reversed(found):
@@ -312,7 +353,8 @@ def mask_secrets(documents: DataFrame, model: Forest | None = None, mask: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            out = [clean(t, f) for t, f in zip(texts, judged(shared.value, texts), strict=True)]
+            paths = None if where is None else [None if p is None else str(p) for p in batch.column(where).to_pylist()]
+            out = [clean(t, f) for t, f in zip(texts, judged(shared.value, texts, paths), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.column(at).type))
 
     return C.map_rows(documents, run)

@@ -92,6 +92,16 @@ def brute(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)
 
 
+def test_a_rejected_host_takes_its_good_documents_along(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, good + f" x{i}", "fine") for i in range(30)] + [(100 + i, "too short", "bad") for i in range(30)] + [(200, good, "bad"), (201, good, None), (300, good, "new"), (301, "short", "new")]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not got[200].base_failed and got[200].host_rejected and not got[200].kept
+    # one failure of two documents is shrunk towards the other hosts and rejects nothing; no host, no verdict
+    assert got[300].kept and not got[300].host_rejected and got[201].kept and not got[301].kept
+    assert all(got[i].kept for i in range(30))
+
+
 def test_host_rules(spark, docs, rows, no_docs):
     more = [(900, "\n".join(["a b c d e f g h i # $ |", "a b c d e f g h i # $ |", " "]), None, "bad", 0, "", "", "", "")] + [(901 + i, "short", None, "bad", 0, "", "", "", "") for i in range(40)]
     got = judge(docs.unionByName(spark.createDataFrame(more, docs.schema))).collect()
