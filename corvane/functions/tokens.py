@@ -62,6 +62,14 @@ def windows(ids: Column, length: int) -> Column:
     return F.get(F.transform(F.array(ids), cut), F.lit(0))
 
 
+def padded_windows(ids: Column, length: int, pad: int) -> Column:
+    """A document's tokens in pieces of exactly ``length``, the last one filled up with ``pad``; no token is in two."""
+    count = F.ceil(F.size(ids) / length).cast("int")
+    own = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(ids, k * length + 1, length))
+    filled = F.transform(own, lambda w: F.concat(w, F.array_repeat(F.lit(pad), length - F.size(w))))
+    return F.when(F.size(ids) > 0, filled).otherwise(F.array().cast("array<array<int>>"))
+
+
 def n_batches(tokens: Column, length: int, batch: int) -> Column:
     """Batches per epoch: full windows by ``batch``, and one for a short tail."""
     full = F.floor((tokens - 1) / length)

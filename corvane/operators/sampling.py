@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shuffle_key(seed: str, key: Column) -> Column:
@@ -27,10 +26,11 @@ def all_or_stratified(df: DataFrame, category: str, key: str, count: int, seed:
     return df if df.count() == count else round_robin(df, category, key, count, seed)
 
 
-def window_sample(n_windows: int, count: int, seed: int) -> list[int]:
-    """Window numbers drawn with replacement."""
-    return np.random.default_rng(seed).integers(0, n_windows, count).tolist()
+def window_sample(spark: SparkSession, n_windows: int, count: int, seed: int) -> DataFrame:
+    """``i, window_id``: windows drawn with replacement, each draw a hash of the seed and its number."""
+    return spark.range(count).select(F.col("id").alias("i"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_windows)).alias("window_id"))
 
 
-def epoch_order(n_windows: int, seed: int) -> list[int]:
-    return np.random.default_rng(seed).permutation(n_windows).tolist()
+def epoch_order(spark: SparkSession, n_windows: int, seed: int) -> DataFrame:
+    """``window_id`` of all windows in the order of an epoch, a permutation by the hash of seed and number."""
+    return spark.range(n_windows).select(F.col("id").alias("window_id")).orderBy(F.xxhash64(F.lit(seed), "window_id"), "window_id")

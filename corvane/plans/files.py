@@ -348,3 +348,19 @@ def token_vectors(spark, d):
     vectors = table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
     found = V.embedding_lookup(turns.withColumn("token", F.char_length("piece").cast("long")), vectors)
     return rounded(found.groupBy("turn_id").agg(F.count("*").alias("tokens"), F.sum(F.get("vector", F.lit(0)).cast("double")).alias("first"), F.sum(V.total(V.doubles(F.col("vector")))).alias("sum")), "first", "sum", digits=4)
+
+
+@query
+def padded_windows(spark, d):
+    rows = docs(spark, d).select("doc_id", F.posexplode(K.padded_windows(instructions.piece_lengths(F.col("text")), 64, -1)).alias("window_id", "w"))
+    own = F.filter("w", lambda v: v >= 0)
+    return rows.select("doc_id", F.col("window_id").cast("long").alias("window_id"), F.size("w").cast("long").alias("width"), F.size(own).cast("long").alias("tokens"), total(own).alias("token_sum"))
+
+
+@query
+def epoch_windows(spark, d):
+    """Each window of the documents' pieces once, by the order of an epoch: whether all are there, and how many draws are in range."""
+    n = docs(spark, d).agg(F.sum(X.n_pieces(F.col("text"))).alias("n")).first().n // 64
+    order, drawn = sampling.epoch_order(spark, n, 3), sampling.window_sample(spark, n, 500, 3)
+    every = order.agg(F.count("*").alias("windows"), F.count_distinct("window_id").alias("distinct_windows"), F.max("window_id").alias("last"))
+    return every.crossJoin(F.broadcast(drawn.agg(F.count_if((F.col("window_id") >= 0) & (F.col("window_id") < n)).alias("draws"))))  # one row each

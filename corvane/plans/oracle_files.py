@@ -95,5 +95,7 @@ SELECT task, count(*) AS examples, count(*) FILTER (NOT ok) AS wrong, count(*) F
         "budget_check": f"WITH {filled()} SELECT split, sum(tokens)::BIGINT AS have, 151::BIGINT AS wanted FROM i WHERE split = 'val' GROUP BY split",
         "stratified_or_all": "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('5:' || doc_id), doc_id::VARCHAR) AS rank FROM documents WHERE lang <> 'en') SELECT doc_id, lang FROM (SELECT * FROM r ORDER BY rank, lang LIMIT 30)",
         "attention_sums": attention(),
+        "padded_windows": f"WITH t AS (SELECT doc_id, {IDS('text')} AS x FROM documents), w AS (SELECT doc_id, x, unnest(range(0, (len(x) + 63) // 64)) AS k FROM t) SELECT doc_id, k AS window_id, 64::BIGINT AS width, len(x[k * 64 + 1:k * 64 + 64])::BIGINT AS tokens, list_sum(x[k * 64 + 1:k * 64 + 64])::BIGINT AS token_sum FROM w",
+        "epoch_windows": f"WITH t AS (SELECT sum(len({pieces('text')}))::BIGINT // 64 AS n FROM documents) SELECT n AS windows, n AS distinct_windows, n - 1 AS last, 500::BIGINT AS draws FROM t",
         "token_vectors": f"WITH {EMB}, p AS (SELECT conv_id * 1000 + turn AS turn_id, length(unnest({pieces('text')})) AS token FROM conversations) SELECT turn_id, count(*) AS tokens, round(sum(x[1]), 4) AS first, round(sum(list_sum(x)), 4) AS sum FROM p JOIN e ON vec_id = token GROUP BY turn_id",
     }
