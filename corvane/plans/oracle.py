@@ -193,7 +193,6 @@ SELECT source_id, CASE WHEN len(p) = 0 OR len(r) = 0 THEN (len(p) = 0 AND len(r)
         "joint_context": f"WITH {OUTCOMES} SELECT doc_id // 2 AS context, count(*) AS queries, bool_and(exact_match) AS all_right, count(*) = 2 AS sound FROM o GROUP BY 1",
         "constant_answer": f"""WITH {OUTCOMES}, c AS (SELECT category, exact_match::VARCHAR AS answer, count(*) AS n FROM o WHERE doc_id % 3 > 0 GROUP BY ALL), t AS (SELECT category, answer AS constant FROM c QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, answer DESC) = 1)
 SELECT category, count(*) AS examples, count(*) FILTER (exact_match::VARCHAR = constant) AS right FROM o JOIN t USING (category) WHERE doc_id % 3 = 0 GROUP BY category""",
-        "error_attribution": f"WITH {OUTCOMES} SELECT source, count(*) FILTER (NOT exact_match) AS wrong, count(*) FILTER (exact_match) AS partner_right FROM o GROUP BY source HAVING count(*) FILTER (NOT exact_match) > 0",
         "weighted_loss": f"""WITH {BIGRAMS}, p AS (SELECT prev, token, count(*) AS pn FROM n GROUP BY ALL), q AS (SELECT prev, count(*) AS qn FROM n GROUP BY prev), v AS (SELECT count(DISTINCT token) AS v FROM n),
 l AS (SELECT doc_id, -ln((pn + 1.0::DOUBLE) / (qn + v)) AS nll FROM n JOIN p USING (prev, token) JOIN q USING (prev), v) SELECT doc_id, round(sum(nll) / count(*), 6) AS loss, round(exp(sum(nll) / count(*)), 6) AS perplexity, count(*) AS scored_tokens FROM l GROUP BY doc_id""",
         "masked_accuracy": "SELECT event_type, round(avg(value), 6) AS loss, round(avg((event_id % 5 = user_id % 5)::INT), 6) AS accuracy, count(*) AS scored_tokens FROM events WHERE event_id % 3 <> 0 GROUP BY event_type",

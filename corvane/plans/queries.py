@@ -371,13 +371,6 @@ def constant_answer(spark, d):
     return scoring.constant_answer(o.where("doc_id % 3 > 0"), o.where("doc_id % 3 = 0"), "category", "answer").select("category", "examples", "right")
 
 
-@query
-def error_attribution(spark, d):
-    o = outcomes(spark, d)
-    partner = o.where("exact_match").groupBy("source").agg(F.count("*").alias("partner_right"))
-    return o.where("not exact_match").groupBy("source").agg(F.count("*").alias("wrong")).join(partner, "source", "left").select("source", "wrong", F.coalesce("partner_right", F.lit(0)).cast("long").alias("partner_right"))
-
-
 def bigrams(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id, pos, prev, token`` of all conversation turns."""
     w = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), X.pieces(F.lower("text")).alias("w"))
@@ -525,13 +518,6 @@ def embedding_lookup(spark, d):
     return V.embedding_lookup(tokens, vectors(spark, d).select(F.col("vec_id").alias("token"), "label")).select("doc_id", F.col("token").cast("long").alias("token"), F.col("label").cast("long").alias("label"))
 
 
-@query
-def grouped_attention(spark, d):
-    x = vectors(spark, d).select(F.floor(F.col("vec_id") / 16).cast("long").alias("sequence"), "vec_id", "embedding")
-    xs = x.groupBy("sequence").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda r: r["embedding"]).alias("xs"))
-    return xs.mapInPandas(V.grouped_attention(4, 2), "sequence long, out array<array<double>>").select("sequence", F.size("out").cast("long").alias("positions"))
-
-
 # streaming form of the log means, run to completion on the batch table
 
 

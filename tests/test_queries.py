@@ -27,7 +27,7 @@ def duck():
 
 def test_all_queries_are_known():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"syntax_valid", "grouped_attention"}
+    assert set(QUERIES) - set(SQL) == {"syntax_valid"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
