@@ -74,9 +74,15 @@ def test_entry_without_the_subpackage(tmp_path):
     import sys
 
     root = os.path.dirname(os.path.abspath(P.__file__))
-    for name in ("corvane", "__spark_entry__.py"):
+    for name in ("corvane", "__spark_entry__.py", "corpus_pipeline.py"):
         source = os.path.join(root, name)
         (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, tmp_path / name)
     shutil.rmtree(tmp_path / "corvane" / "llm")
+    command = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') for n in q); print(len(q), len(e.oracle_sql()))"
+    for removed in ("", "corpus_pipeline.py"):
+        if removed:
+            os.remove(tmp_path / removed)
+        done = subprocess.run([sys.executable, "-c", command], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+        assert done.returncode == 0, done.stderr
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') for n in q); print(len(q), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
     assert done.returncode == 0, done.stderr
