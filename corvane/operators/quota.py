@@ -16,6 +16,14 @@ class BudgetError(ValueError):
     """A source or split can't fill its budget."""
 
 
+def validated(budgets: dict[str, int]) -> dict[str, int]:
+    """``budgets``, if there are any and each is a whole number above 0; raises otherwise."""
+    wrong = {k: n for k, n in budgets.items() if isinstance(n, bool) or not isinstance(n, int) or n < 1}
+    if wrong or not budgets:
+        raise BudgetError(f"budgets must be whole numbers above 0: {wrong or 'none given'}")
+    return budgets
+
+
 def quota_of(budgets: dict[str, int], part: str = "split") -> Column:
     out = None
     for name, n in budgets.items():

@@ -66,6 +66,7 @@ def prepare(documents: DataFrame, folder: str, budgets: dict[str, int], encode:
     ends with ``end``, a cut one too. The manifest ends as complete, or as incomplete if anything fails.
     """
     spark = documents.sparkSession
+    quota.validated(budgets)
     ids = F.transform(X.pieces(F.col("text")), lambda w: F.char_length(w)) if encode is None else encode
     with Corpus(spark, folder, tokenizer=tokenizer, vocabulary=vocabulary, budgets=budgets, end=end, documents=documents.inputFiles()[:100]) as out:
         rows = settle(visible(documents, n_tokens=F.size(ids)), "visible")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import text as X, tokens as K, vectors as V
-from corvane.operators import checks, filters, quota, sampling, scoring
+from corvane.operators import checks, filters, probes, quota, sampling, scoring
 from corvane.plans import corpus, holdout, instructions
 from corvane.plans.queries import BUDGETS, Query, answers, bigrams, docs, outcomes, rounded
 from corvane.sources import readers, sinks
@@ -364,3 +364,14 @@ def epoch_windows(spark, d):
     order, drawn = sampling.epoch_order(spark, n, 3), sampling.window_sample(spark, n, 500, 3)
     every = order.agg(F.count("*").alias("windows"), F.count_distinct("window_id").alias("distinct_windows"), F.max("window_id").alias("last"))
     return every.crossJoin(F.broadcast(drawn.agg(F.count_if((F.col("window_id") >= 0) & (F.col("window_id") < n)).alias("draws"))))  # one row each
+
+
+@query
+def probe_tasks(spark, d):
+    """The copy and colour tasks under four conditions, with the answer that the rule finds."""
+    out = None
+    for task in probes.TASKS:
+        rows = probes.task_conditions(probes.build_task(spark, task, probes.DEV_OFFSETS, "dev"), task)
+        rows = rows.withColumn("answer", probes.solve_task(task, F.col("context"), F.col("instruction")))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("id", "base_id", "category", "condition", "instruction", "context", "response", "answer")

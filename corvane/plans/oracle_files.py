@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from corvane.operators.filters import LICENSES
-from corvane.plans.oracle import ANSWER, BIGRAMS, GOOD, IDS, OUTCOMES, PROMPT, SPACE, TURNS, collapse, filled, fold, fp, grams, pieces, reachable, split, words
+from corvane.operators import probes
+from corvane.plans.oracle import ANSWER, BIGRAMS, GOOD, IDS, OUTCOMES, PROMPT, SPACE, TURNS, collapse, filled, fold, fp, grams, pieces, reachable, split, swapped, words
 
 LINES = "SELECT doc_id % 3 + 1 AS file_no, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS line_no, CASE WHEN doc_id % 10 IN (3, 4, 5) THEN NULL WHEN doc_id % 10 = 6 THEN '' ELSE text END AS t FROM documents"
 _licence = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate((*LICENSES, "gpl-3.0")))
@@ -41,6 +42,20 @@ l AS (SELECT doc_id, -ln((pn + 1.0::DOUBLE) / (qn + v)) AS nll FROM n JOIN pr US
 EMB = "e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL)"
 
 
+def probe_tasks() -> str:
+    names = " UNION ALL ".join(f"SELECT {i} AS i, '{n}' AS name, '{c}' AS colour" for i, (n, c) in enumerate(zip(probes.NAMES, probes.COLOURS, strict=True)))
+    put = lambda t, who, value="''": "'" + t.replace("{who}", f"' || {who} || '").replace("{value}", f"' || {value} || '") + "'"
+    parts = []
+    for task, (fact, question, other) in probes.TASKS.items():
+        steps = " UNION ALL ".join(f"SELECT {o} AS o" for o in probes.DEV_OFFSETS)
+        base = f"""SELECT '{task}-dev-' || o || '-' || x.i || '-' || q AS id, CASE q WHEN 1 THEN x.name ELSE y.name END AS who, {put(fact, 'x.name', 'x.colour')} AS one, {put(fact, 'y.name', 'y.colour')} AS two, CASE q WHEN 1 THEN x.colour ELSE y.colour END AS response
+ FROM ({names}) x, ({steps}) s, (SELECT 1 AS q UNION ALL SELECT 2) k JOIN ({names}) y ON y.i = (x.i + o) % {len(probes.NAMES)}"""
+        both = "one || chr(10) || two"
+        for condition, asked, context, response in (("control", question, both, "response"), ("rephrase", other, both, "response"), ("reorder", question, "two || chr(10) || one", "response"), ("values", question, swapped(both), swapped("response"))):
+            parts.append(f"SELECT '{condition}-' || id AS id, id AS base_id, '{task}' AS category, '{condition}' AS condition, {put(asked, 'who')} AS instruction, {context} AS context, {response} AS response, {response} AS answer FROM ({base})")
+    return " UNION ALL ".join(parts)
+
+
 def attention() -> str:
     head = lambda x, h: f"{x}[{h} * len({x}) // 4 + 1:({h} + 1) * len({x}) // 4]"
     heads = " UNION ALL ".join(f"SELECT a.s, a.p, {h} AS h, list_dot_product({head('a.x', h)}, {head('b.x', h // 2 * 2)}) / sqrt(len(a.x) / 4) AS z, list_sum({head('b.x', h // 2 * 2)}) AS v, b.x[1] AS f FROM t a JOIN t b ON a.s = b.s AND b.p <= a.p" for h in range(4))
@@ -97,5 +112,6 @@ SELECT task, count(*) AS examples, count(*) FILTER (NOT ok) AS wrong, count(*) F
         "attention_sums": attention(),
         "padded_windows": f"WITH t AS (SELECT doc_id, {IDS('text')} AS x FROM documents), w AS (SELECT doc_id, x, unnest(range(0, (len(x) + 63) // 64)) AS k FROM t) SELECT doc_id, k AS window_id, 64::BIGINT AS width, len(x[k * 64 + 1:k * 64 + 64])::BIGINT AS tokens, list_sum(x[k * 64 + 1:k * 64 + 64])::BIGINT AS token_sum FROM w",
         "epoch_windows": f"WITH t AS (SELECT sum(len({pieces('text')}))::BIGINT // 64 AS n FROM documents) SELECT n AS windows, n AS distinct_windows, n - 1 AS last, 500::BIGINT AS draws FROM t",
+        "probe_tasks": probe_tasks(),
         "token_vectors": f"WITH {EMB}, p AS (SELECT conv_id * 1000 + turn AS turn_id, length(unnest({pieces('text')})) AS token FROM conversations) SELECT turn_id, count(*) AS tokens, round(sum(x[1]), 4) AS first, round(sum(list_sum(x)), 4) AS sum FROM p JOIN e ON vec_id = token GROUP BY turn_id",
     }

@@ -249,3 +249,11 @@ def test_zipped_tables_must_agree(spark):
     for wrong in (b.withColumn("id", F.lit("x")), b.where("n = 1")):
         with pytest.raises(Exception):
             scoring.zipped(a, wrong, "n", "id").collect()
+
+
+@pytest.mark.parametrize("budgets", [{}, {"train": 0}, {"train": -5}, {"train": 1.5}, {"train": True}, {"train": "9"}])
+def test_budgets_are_whole_numbers_above_zero(spark, tmp_path, budgets):
+    docs = spark.createDataFrame([(1, "some words " * 30, "s")], "doc_id long, text string, source string")
+    with pytest.raises(quota.BudgetError):
+        corpus.prepare(docs, str(tmp_path / "c"), budgets)
+    assert not (tmp_path / "c").exists()
