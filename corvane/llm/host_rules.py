@@ -2,7 +2,8 @@
 
 A host is the ``source`` of a document. Each rule's failures are counted by host (pre-aggregated before the
 shuffle); a beta prior is fitted to the hosts' raw rates by moments, and a host is rejected when its shrunk rate
-under some rule exceeds that rule's limit. Verdicts are joined back to the documents.
+under some rule exceeds that rule's limit. Verdicts are joined back to the documents, those of a large host, or
+without one, dealt over many tasks.
 
 Edge cases: a null, empty or wordless text has no words and fails the base rule; documents without a host get no
 host verdict; repeated rows count one by one; other columns are ignored; an empty table gives an empty result.
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm import common as C
+from corvane.operators.skew import spread_join
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 _POINT = np.array([(b & 0xC0) != 0x80 and b not in (9, 10, 11, 12, 13, 32) for b in range(256)], np.int32)
@@ -73,12 +75,12 @@ def measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def host_verdicts(measured: DataFrame) -> DataFrame:
-    """``host, n, <rule>_rate..., host_rejected``: one row per host."""
+    """``host, n, <rule>_rate..., host_rejected``: one row per host, and one, never rejected, for documents without."""
     hosts = C.settle(
-        measured.where("host is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), *(F.sum(F.expr(f"case when {test} then 1.0D else 0.0D end")).alias(f"{rule}_fails") for rule, (test, _) in RULES.items())),
+        measured.groupBy("host").agg(F.count("*").cast("double").alias("n"), *(F.sum(F.expr(f"case when {test} then 1.0D else 0.0D end")).alias(f"{rule}_fails") for rule, (test, _) in RULES.items())),
         "hosts",
     )
-    moments = hosts.agg(*(f(F.col(f"{rule}_fails") / F.col("n")).alias(f"{rule}_{name}") for rule in RULES for name, f in (("mean", F.avg), ("var", F.var_pop)))).first()
+    moments = hosts.where("host is not null").agg(*(f(F.col(f"{rule}_fails") / F.col("n")).alias(f"{rule}_{name}") for rule in RULES for name, f in (("mean", F.avg), ("var", F.var_pop)))).first()
     out, bad = hosts, F.lit(False)
     for rule, (_, limit) in RULES.items():
         mean, var = moments[f"{rule}_mean"] or 0.0, moments[f"{rule}_var"] or 0.0
@@ -87,7 +89,7 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
         rate = (F.col(f"{rule}_fails") + mean * strength) / (F.col("n") + strength)
         out = out.withColumn(f"{rule}_rate", rate)
         bad = bad | (F.col(f"{rule}_rate") > limit)
-    return out.withColumn("host_rejected", bad)
+    return out.withColumn("host_rejected", bad & F.col("host").isNotNull())
 
 
 def judge(documents: DataFrame) -> DataFrame:
@@ -95,7 +97,8 @@ def judge(documents: DataFrame) -> DataFrame:
     C.small_batches(documents.sparkSession)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    measured = C.settle(own.mapInArrow(measure_batches, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _COUNTS)).withColumn("base_failed", failed), "measured")
-    verdicts = host_verdicts(measured).select("host", "host_rejected")
-    out = measured.join(verdicts, "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    measured = C.settle(own.mapInArrow(measure_batches, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _COUNTS)).withColumns({"base_failed": failed, "row": F.monotonically_increasing_id()}), "measured")
+    verdicts = host_verdicts(measured)
+    sizes = verdicts.select("host", F.col("n").cast("long").alias("n"))
+    out = spread_join(measured, verdicts.select("host", "host_rejected"), ["host"], sizes, F.col("row"), "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.select("doc_id", *_COUNTS[:5], "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "n_lines", "host_rejected")

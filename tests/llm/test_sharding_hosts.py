@@ -102,6 +102,18 @@ def test_a_rejected_host_takes_its_good_documents_along(spark):
     assert all(got[i].kept for i in range(30))
 
 
+def test_large_hosts_are_dealt(spark, monkeypatch):
+    from corvane.operators import skew
+
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, "too short", "bad") for i in range(60)] + [(100 + i, good, "fine") for i in range(60)] + [(200 + i, good, None) for i in range(60)] + [(300, good, "bad")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = sorted(judge(df).collect())
+    monkeypatch.setattr(skew, "FEW", 5)
+    assert sorted(judge(df).collect()) == plain and len(plain) == 181
+    assert {r.host_rejected for r in plain if r.doc_id < 100 or r.doc_id == 300} == {True} and all(r.kept for r in plain if 100 <= r.doc_id < 300)
+
+
 def test_host_rules(spark, docs, rows, no_docs):
     more = [(900, "\n".join(["a b c d e f g h i # $ |", "a b c d e f g h i # $ |", " "]), None, "bad", 0, "", "", "", "")] + [(901 + i, "short", None, "bad", 0, "", "", "", "") for i in range(40)]
     got = judge(docs.unionByName(spark.createDataFrame(more, docs.schema))).collect()
