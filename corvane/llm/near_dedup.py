@@ -14,7 +14,8 @@ components was compared. Pairs reach verification only if their sizes and one bi
 the threshold (a true pair fails that with probability under 1e-10); verification then counts the intersection of
 the whole sets.
 
-Joins on buckets and shingles deal hot keys over many tasks (``operators/skew.py``).
+Joins on buckets, shingles and equal sets deal hot keys over many tasks (``operators/skew.py``); a row that is
+repeated with its id goes to verification once.
 
 Edge cases: a null, empty or wordless text has an empty set and is linked with nothing; with fewer words than a
 shingle has, the whole sequence is one shingle; in ``near_duplicates`` a null ``doc_id`` is returned with its size, no
@@ -171,9 +172,12 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     spark = documents.sparkSession
     C.small_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = C.settle(texts.mapInArrow(C.tidy(sketch_batches(words)), "doc_id long, n_shingles long, s1 long, s2 long, bits0 long, bits1 long, bands array<long>"), "sketches")
+    rows = C.settle(texts.mapInArrow(C.tidy(sketch_batches(words)), "doc_id long, n_shingles long, s1 long, s2 long, bits0 long, bits1 long, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "sketches")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    if not rows.where(linked).groupBy("doc_id", "s1", "s2").count().where("count > 1").isEmpty():
+        texts = texts.where("doc_id is not null").dropDuplicates()
     reps = C.settle(
-        rows.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "bits0", "bits1", "bands"), "doc_id").alias("x")).select("s1", "s2", "id", "x.*"),
+        rows.where(linked).groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min_by(F.struct("n_shingles", "bits0", "bits1", "bands"), "doc_id").alias("x")).select("s1", "s2", "id", "n", "x.*"),
         "representatives",
     )
     spread = reps.select("id", F.explode("bands").alias("key")).distinct()
@@ -221,8 +225,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         live, sizes, pivots = rest, rest_sizes, pivots * 4
     C.forget(live, sizes, sets, buckets, shared)
     named = reps.select("s1", "s2", "id").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id"))
-    own = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("s1")).alias("s1"), "s2")
-    out = own.join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = rows.where(linked).select("doc_id", "n_shingles", "s1", "s2", "row")
+    out = spread_join(own, named, ["s1", "s2"], reps.select("s1", "s2", "n"), F.col("row")).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

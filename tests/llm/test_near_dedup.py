@@ -63,6 +63,18 @@ def test_chains_and_shared_passages(spark):
     assert Counter(tuple(r) for r in got.collect()) == brute(rows, 2)
 
 
+def test_rows_repeated_with_their_ids(spark, monkeypatch):
+    """Hundreds of equal rows of near copies: one node each, all rows returned; hot sets and empty ones are dealt."""
+    from corvane.operators import skew
+
+    monkeypatch.setattr(skew, "FEW", 20)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:k] + ["x"] + words[k + 1 :]) for k in (3, 30, 50)] + [" ".join(words)]
+    rows = [(10 + i, t) for i, t in enumerate(texts) for _ in range(150)] + [(5, texts[0]), (6, "of its own"), (6, "by another text")] + [(900 + i, "") for i in range(100)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2)
+    assert Counter(tuple(r) for r in got.collect()) == brute(rows, 2)
+
+
 def test_keep_one(docs, rows, no_docs):
     kept = N.keep_one(docs)
     assert kept.columns == docs.columns
