@@ -7,7 +7,7 @@ finds is taken as often as its lengths last; each step uses up a length, so the
 a rank among those of their length and look up their bin and offset in the broadcast plan.
 
 The rank is counted in two steps, within (length, slice) and over the slices before, so that a length that a third
-of all pieces share is spread over many tasks.
+of all pieces share is spread over many tasks; equal rows go to different slices, whose number grows with the pieces.
 
 Edge cases: a null or empty text is the end token alone, one piece of length 1; a longer document is cut into
 pieces of ``CAPACITY`` tokens, the last may be shorter; rows that share a ``doc_id``, or have none, are packed one
@@ -20,6 +20,7 @@ import json
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ from corvane.llm import common as C
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Slices by which pieces of one length are ranked side by side.
-SLICES = 256
+#: Slices by which pieces of one length are ranked side by side at least, and the pieces for each beyond that.
+SLICES, RANKED = 256, 1 << 22
 
 
 # The rules of a tokenizer file that ``WordIds`` can follow word by word.
@@ -131,13 +132,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def cut_batches(path: str, capacity: int):
-    """``doc_id, text`` to one row per piece: where it starts, how long it is, and the CRC of its ids."""
+    """``doc_id, text`` to one row per piece: where it starts, how long it is, the CRC of its ids, and its number among equal ones of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
         end = array("I", [END]).tobytes()
         for batch in batches:
-            out: list[list[int | None]] = [[], [], [], [], []]
+            out: list[list[int | None]] = [[], [], [], [], [], []]
+            equal: Counter[tuple] = Counter()
             keys = [known.split(text or "") for text in batch.column("text").to_pylist()]
             known.learn(set().union(*keys))
             for key, own in zip(batch.column("doc_id").to_pylist(), keys, strict=True):
@@ -145,9 +147,11 @@ def cut_batches(path: str, capacity: int):
                 total = len(ids) // 4
                 for piece, start in enumerate(range(0, total, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(out, (key, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
+                    crc = zlib.crc32(part)
+                    for column, value in zip(out, (key, piece, start, len(part) // 4, crc, equal[key, piece, crc]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    equal[key, piece, crc] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
     return run
 
@@ -202,16 +206,17 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     C.small_batches(spark)
     path = tokenizer or tokenizer_path()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = C.settle(texts.mapInArrow(C.tidy(cut_batches(path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
-    slice_of = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES)).cast("int")
+    pieces = C.settle(texts.mapInArrow(C.tidy(cut_batches(path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"), "pieces")
+    slices = max(SLICES, pieces.count() // RANKED)
+    slice_of = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth"), F.lit(slices)).cast("int")
     sliced = pieces.withColumn("slice", slice_of)
-    # at most CAPACITY * SLICES rows, whatever the corpus holds
+    # one row for each length and slice; the histogram has one for each length
     sizes = sliced.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = sizes.select("length", "slice", (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before"))
     histogram = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     schema = "length long, first long, ranks long, bin long, each long, at long"
     rows = spark.createDataFrame(plan(histogram, capacity), schema)
-    ranked = sliced.withColumn("r", F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
+    ranked = sliced.withColumn("r", F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32", "nth")) - 1)
     ranked = ranked.join(before, ["length", "slice"]).withColumn("rank", F.col("r") + F.col("before"))
     steps = rows.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "ranks", "bin", "each", "at"))).alias("steps"))
     placed = ranked.join(F.broadcast(steps), "length").withColumn("s", _last_at_most("steps", "rank"))

@@ -84,6 +84,22 @@ def test_pack(docs, rows, no_docs):
     assert packing.pack(no_docs).collect() == []
 
 
+def test_copies_of_a_row_are_ranked_in_many_slices(spark, monkeypatch):
+    for name, value in (("SLICES", 2), ("RANKED", 100)):
+        monkeypatch.setattr(packing, name, value)
+    rows = [(None, "the same words")] * 700 + [(i, "other words of another length " * (i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, capacity=64).collect()
+    assert len(got) == 1000
+    assert [(r.doc_id, r.length, r.ids_crc32) for r in sorted(got, key=str) if r.doc_id is not None] == [(r.doc_id, r.length, r.ids_crc32) for r in sorted(packing.pack(df, capacity=64).collect(), key=str) if r.doc_id is not None]
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        ends = [a + n for a, n in sorted(own)]
+        assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 64
+
+
 def test_ids_of_unusual_texts():
     from tokenizers import Tokenizer
 
