@@ -6,7 +6,8 @@ needs one number per row, so the trained model is broadcast as ``2 ** BITS`` flo
 
 Edge cases: a null, empty or wordless text scores the share of label 1 among the training rows; without labels of
 both classes every score is that share (0.0 without any); a null ``doc_id`` is never held out and never trains;
-repeated rows are scored one by one; columns other than ``doc_id`` and ``text`` are ignored.
+repeated rows are scored one by one; of rows that share an id the one with the smallest text trains, so copies don't
+stretch the sample; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +108,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", limit
     C.small_batches(documents.sparkSession)
     sample = C.bounded_sample(labels, label, limit, DIVISOR, HELD_OUT)
     texts = C.sample_texts(documents, sample).select("sample_id", "label", F.col("text").cast("string").alias("text"))
-    got = texts.repartition(1).mapInArrow(train_task, "weights binary, bias double").collect()
+    once = texts.groupBy("sample_id", "label").agg(F.min("text").alias("text"))
+    got = once.coalesce(1).mapInArrow(train_task, "weights binary, bias double").collect()
     return (np.frombuffer(got[0].weights, np.float32), got[0].bias) if got else (np.zeros(1 << BITS, np.float32), float("-inf"))
 
 

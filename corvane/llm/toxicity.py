@@ -5,8 +5,9 @@ words (ASCII punctuation separates words). Per-coordinate learning rates and L1
 broadcast; the hash space ``2 ** BITS`` bounds them whatever the corpus holds.
 
 Edge cases: a null, empty or wordless text scores the model's prior; without labels of both classes every score
-is 0.0; a null ``doc_id`` is never held out and never trains; repeated rows are scored one by one; columns of
-``documents`` other than ``doc_id`` and ``text`` are ignored.
+is 0.0; a null ``doc_id`` is never held out and never trains; repeated rows are scored one by one; of rows that share an id
+one trains, the one with the smallest features, so copies don't stretch the sample; columns of ``documents`` other
+than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", limit:
     C.small_batches(spark)
     sample = C.bounded_sample(labels, label, limit, DIVISOR, HELD_OUT)
     feats = C.sample_texts(documents, sample).select("sample_id", "label", "text").mapInArrow(C.tidy(extract), "sample_id long, label int, feats array<int>")
-    model = feats.repartition(1).mapInArrow(C.tidy(train_task), "at long, w double").collect()
+    once = feats.groupBy("sample_id", "label").agg(F.min("feats").alias("feats"))
+    model = once.coalesce(1).mapInArrow(C.tidy(train_task), "at long, w double").collect()
     weights, bias = np.zeros(1 << BITS, np.float32), float("-inf")
     for at, w in model:
         if at < 0:

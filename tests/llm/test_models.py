@@ -50,6 +50,10 @@ def test_toxicity_and_quality_on_held_out_rows(spark, docs):
     assert mine(kept) == mine(every.join(spark.createDataFrame([(r.doc_id,) for r in got if not r.predicted and r.doc_id is not None], "doc_id long").distinct(), "doc_id").select(*every.columns).unionByName(every.where("doc_id is null")))
     named = every.withColumnsRenamed({"size": "predicted", "rank": "a.b"})
     assert toxicity.drop_toxic(named, table).columns == named.columns and {r.score for r in toxicity.drop_toxic(named, table).collect()} <= {"x", None, ""}
+    # copies of a labelled row don't stretch the sample
+    often = given.unionByName(given.where("doc_id % 3 = 0").crossJoin(spark.range(9)).drop("id"))
+    for model in (toxicity.toxicity, quality.quality):
+        assert {(r.doc_id, r.score) for r in model(often, table).collect()} == {(r.doc_id, r.score) for r in model(given, table).collect()}
     # labels of held-out rows change nothing
     flipped = spark.createDataFrame([(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels], table.schema)
     assert {(r.doc_id, r.score) for r in toxicity.toxicity(given, flipped).collect()} == {(r.doc_id, r.score) for r in toxicity.toxicity(given, table).collect()}
