@@ -1,6 +1,6 @@
 """Exact top-k BM25 search: an inverted index per shard, block-max WAND pruning, and an exact merge.
 
-*Index.* Runs of ``SHARD`` documents become one row each: the documents' ids and lengths, and for each term its postings
+*Index.* Runs of ``SHARD`` documents, fewer if they have over ``POSTINGS`` postings, become one row each: the documents' ids and lengths, and for each term its postings
 (places and counts). It is written once to the shared folder, with the corpus's document frequencies beside it; queries
 read only these tables, whatever their number. Terms are told apart by 64-bit hashes.
 
@@ -40,6 +40,8 @@ K1, B, TOP = 1.2, 0.75, 10
 SHARD, BLOCK, BATCH, DENSE, FIRST = 4_096, 8, 64, 512, 8
 #: Terms of a block of queries, 24 bytes each when sent.
 TERMS = 1_000_000
+#: Postings of a shard, but for those of a part of one Arrow batch.
+POSTINGS = 4_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -65,7 +67,7 @@ INDEX = "shard long, words long, doc_ids binary, lengths binary, terms binary, c
 def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, text`` to one row per shard; a null id becomes the largest number."""
     parts: list[tuple[np.ndarray, ...]] = []
-    size = 0
+    size = held = 0
 
     def flush() -> pa.RecordBatch:
         ids, rows, terms, tf, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -88,11 +90,12 @@ def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a in range(0, len(ids), SHARD):
             i, j = np.searchsorted(rows, (a, a + SHARD))
             part = ids[a : a + SHARD]
-            if size and size + len(part) > SHARD:
+            if size and (size + len(part) > SHARD or held + j - i > POSTINGS):
                 yield flush()
-                parts, size = [], 0
+                parts, size, held = [], 0, 0
             parts.append((part, rows[i:j] - a + size, terms[i:j], tf[i:j], lengths[a : a + SHARD]))
             size += len(part)
+            held += j - i
     if size:
         yield flush()
 

@@ -26,7 +26,7 @@ def bm25(rows, queries, k):
 
 @pytest.mark.parametrize("shard, block, first, dense, terms", [(8192, 8, 8, 512, 1_000_000), (20, 4, 2, 40, 300)])
 def test_against_all_scores(docs, rows, no_docs, shard, block, first, dense, terms, monkeypatch):
-    for name, value in (("SHARD", shard), ("BLOCK", block), ("FIRST", first), ("DENSE", dense), ("TERMS", terms), ("BATCH", 3)):
+    for name, value in (("SHARD", shard), ("BLOCK", block), ("FIRST", first), ("DENSE", dense), ("TERMS", terms), ("BATCH", 3), ("POSTINGS", 100 * terms // 30)):
         monkeypatch.setattr(S, name, value)
     got = S.self_search(docs, every=10, k=5).collect()
     queries = {i: t for i, t, *_ in rows if i is not None and i % 10 == 0}
