@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +18,8 @@ from corvane.sources.storage import settle, shared_dir
 
 FILES: dict[str, Query] = {}
 VOCABULARY = 1_000_000
+#: A tokenizer file, and the digest of its content that the queries rely on.
+TOKENIZER, PIN = "byte_bpe_50k.json", "cec27cb89f428497695f4e2a90118d636a594654897a44c0fb11b8f185521820"
 #: Rows of the instruction set by split, and its limits.
 COUNTS, LIMITS = {"train": 24, "val": 2, "holdout": 3}, {"categories": ("early", "late"), "most_answer": 60, "most_total": 400}
 
@@ -108,6 +112,61 @@ def event_scan(spark, d):
     return got.groupBy("event").agg(F.count("*").alias("n"), F.max("step").alias("last_step"), F.round(F.sum("loss"), 4).alias("loss"))
 
 
+@query
+def event_append(spark, d):
+    """One event for each region, appended to a log and echoed; a value that isn't finite is refused and leaves no line."""
+    where, echo, refused = folder(spark, "log"), io.StringIO(), 0
+    with contextlib.redirect_stdout(echo):
+        for r in table(spark, d, "region").select("r_regionkey", "r_name").toLocalIterator():  # a handful of rows
+            sinks.append_event(spark, where, {"event": r.r_name, "step": r.r_regionkey})
+        try:
+            sinks.append_event(spark, where, {"event": "loss", "value": float("nan")})
+        except ValueError:
+            refused = 1
+    got = readers.event_log(spark, where, "event string, step long")
+    return got.select("event", "step", F.lit(len(echo.getvalue().splitlines())).cast("long").alias("echoed"), F.lit(refused).cast("long").alias("refused"))
+
+
+@query
+def public_records(spark, d):
+    """Documents with their texts, and the same records without them, written side by side."""
+    private, public = (settle(x, "records") for x in sinks.private_and_public(docs(spark, d).select("doc_id", "lang", "text"), ["text"]))
+    met = public.join(private.select("doc_id", X.digest(F.col("text")).alias("sha256")), "doc_id")
+    return met.select("doc_id", "lang", F.lit(len(public.columns)).cast("long").alias("public_columns"), "sha256")
+
+
+def raw_files(spark: SparkSession, d: str) -> str:
+    """The documents as three raw uint32 files in order of their ids: a piece's token is its length, 127 at most; 0 ends a document."""
+    ids = F.transform(X.pieces(F.col("text")), lambda p: F.concat(F.char(F.least(F.char_length(p), F.lit(127))), F.lit("\0\0\0")))
+    rows = docs(spark, d).select((F.col("doc_id") % 3).alias("shard"), "doc_id", F.array_join(ids, "").alias("value"))
+    where = folder(spark, "raw")
+    rows.repartition(3, "shard").sortWithinPartitions("shard", "doc_id").select("value", "shard").write.partitionBy("shard").option("lineSep", "\0\0\0\0").text(where)
+    return f"{where}/*/*.txt"
+
+
+def shard_of(path: str) -> F.Column:
+    return F.regexp_extract(path, r"shard=(\d+)", 1).cast("long").alias("shard")
+
+
+@query
+def token_file_scan(spark, d):
+    return readers.token_files(spark, raw_files(spark, d), 128).select(shard_of("path"), "tokens", "max_id", "sha256")
+
+
+@query
+def file_hash_scan(spark, d):
+    return readers.file_hashes(spark, raw_files(spark, d)).select(shard_of("path"), "length", "sha256")
+
+
+@query
+def round_trip(spark, d):
+    """Whether each text comes back from the ids of the pinned tokenizer."""
+    import public_tokenizers
+
+    same = readers.round_trips(readers.pinned(public_tokenizers.path(TOKENIZER), PIN))
+    return docs(spark, d).select("doc_id", same("text").alias("same"))
+
+
 def prepared(spark: SparkSession, d: str) -> str:
     where = folder(spark, "corpus")
     corpus.prepare(docs(spark, d), where, BUDGETS, vocabulary=VOCABULARY)

@@ -63,6 +63,11 @@ def attention() -> str:
 o AS (SELECT s, p, h, sum(w * v) / sum(w) AS v, sum(w * f) / sum(w) AS f FROM m GROUP BY ALL) SELECT s AS sequence, p AS pos, round(max(f) FILTER (h = 0), 6) AS first, round(sum(v), 6) AS sum FROM o GROUP BY s, p"""
 
 
+#: Raw token files as hexadecimal strings.
+RAW = f"""WITH t AS (SELECT doc_id, doc_id % 3 AS shard, list_transform({pieces('text')}, lambda p: least(length(p), 127)) AS x FROM documents),
+f AS (SELECT shard, max(list_max(x))::BIGINT AS max_id, string_agg(array_to_string(list_transform(x, lambda v: printf('%02x000000', v)), '') || '00000000', '' ORDER BY doc_id) AS h FROM t GROUP BY shard)"""
+
+
 def sql(counts: dict[str, int]) -> dict[str, str]:
     return {
         "json_lines_scan": f"SELECT file_no, line_no, sha256(t) AS sha256 FROM ({LINES})",
@@ -73,6 +78,11 @@ b AS (SELECT *, CASE split WHEN 'train' THEN 5000 ELSE 200 END AS quota, coalesc
 SELECT seq, repo_name, split, coalesce(sum(tokens) OVER (PARTITION BY split ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_token, tokens, tokens < n AS truncated, sha256(content) AS content_sha256 FROM f""",
         "instruction_scan": f"WITH {TURNS} SELECT row_number() OVER (ORDER BY source_id) AS source_id, 'qa' AS category, sha256(instruction || '|' || context || '|' || response) AS sha256 FROM t",
         "plan_scan": "SELECT unnest(['a', 'b']) AS model, 40::BIGINT AS steps, 11::BIGINT AS tokens",
+        "event_append": "SELECT r_name AS event, r_regionkey::BIGINT AS step, (SELECT count(*) FROM region) AS echoed, 1::BIGINT AS refused FROM region",
+        "public_records": "SELECT doc_id, lang, 2::BIGINT AS public_columns, sha256(text) AS sha256 FROM documents",
+        "token_file_scan": f"{RAW} SELECT shard, (length(h) // 8)::BIGINT AS tokens, max_id, sha256(unhex(h)) AS sha256 FROM f",
+        "file_hash_scan": f"{RAW} SELECT shard, (length(h) // 2)::BIGINT AS length, sha256(unhex(h)) AS sha256 FROM f",
+        "round_trip": "SELECT doc_id, true AS same FROM documents",
         "event_scan": "SELECT event_type AS event, count(*) AS n, max(event_id) AS last_step, round(sum(value), 4) AS loss FROM events GROUP BY 1",
         "corpus_prepare": f"WITH {filled()}, {ENCODED} SELECT {SUMS} FROM x GROUP BY split",
         "corpus_subset": f"{SMALL} SELECT {SUMS}, sum(parent_tokens)::BIGINT AS parent_tokens FROM b GROUP BY split",
